@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import near_dedup
+from . import decontaminate, lm_scoring, near_dedup, quality_rules
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op6_lm_scoring": lm_scoring.op6_lm_scoring,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": decontaminate.OP1_SQL}
