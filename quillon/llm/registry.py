@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, lm_scoring, near_dedup, quality_rules
+from . import decontaminate, lm_scoring, near_dedup, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op6_lm_scoring": lm_scoring.op6_lm_scoring,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_near_dedup": near_dedup.op10_near_dedup,
