@@ -54,6 +54,7 @@ def _clean() -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it again: the plan starts anew from durable files."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{checkpoint_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     schema = df.schema
@@ -77,7 +78,14 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes, so that a Python worker's memory does not depend on the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -140,12 +148,12 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, block: int = BLOCK_BYTES) ->
         first = last
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and how many words each document has; words are runs of non-white bytes."""
+def words_of(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and how many words each document has; words are runs of bytes not ``between``."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     begins = inside.copy()
