@@ -55,7 +55,7 @@ def liquidity(panel: DataFrame, min_price: float = 5.0, min_adv: float = 1e6) ->
 
 def risk(panel: DataFrame) -> DataFrame:
     """Realised volatility, and downside volatility with gains counted as 0."""
-    df = returns(panel).withColumn("_d", F.pow(F.least("r", F.lit(0.0)), F.lit(2.0)))
+    df = returns(panel).withColumn("_d", F.when(F.col("r").isNotNull(), F.pow(F.least("r", F.lit(0.0)), F.lit(2.0))))  # least() skips nulls
     out = {}
     for k in (21, 63, 252):
         out[f"risk_realized_vol_{k}d"] = full(F.stddev_samp("r"), "r", k) * YEAR
