@@ -6,8 +6,8 @@ known context has not seen costs an escape, distinct / (total + distinct), and i
 where the symbols that the longer one has seen are excluded; below order 0 all bytes left are equally likely. The code
 length of a text is the sum over its bytes and its end; ``score`` is its log10 probability.
 
-Sizes: a gram stays in the trie if it makes up at least one in ``GRAMS`` of all counted symbols, so at most
-``(ORDER + 1) * GRAMS`` entries exist, whatever the corpus. A token's count is looked up in a table of the tokens that
+Sizes: the trie has room for ``GRAMS`` grams of each order; where a corpus has more, the ones counted most often are
+kept, so its size is bounded whatever the corpus. A token's count is looked up in a table of the tokens that
 make up one in ``TOKENS`` of all tokens or more (so at most ``TOKENS`` of them); rarer ones are joined by their 64-bit
 hash, and hot tokens never reach that join.
 
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, materialize, release, table, text_blocks, word_hashes, words_of
 
-ORDER = 4
-GRAMS = 2_000_000
+ORDER = 5
+GRAMS = 1_500_000
 TOKENS = 400_000
 _END = 0xFF  # no byte of UTF-8 text
 _END_TOKEN = np.uint64(0x5851F42D4C957F2D)
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 _KEY = (1 << 8 * (ORDER + 1)) - 1
 
 
@@ -137,15 +137,25 @@ def _pair(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got.column(0).to_numpy(), got.column(1).to_numpy()
 
 
-def trie_of(counts: DataFrame) -> tuple[Trie, int]:
-    """The trie of the counted grams, and how many symbols they make up."""
-    grams = counts.where("kind = 1").select("key", "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    parts = []
-    for j in range(ORDER + 1):
-        own = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")) if j < ORDER else grams
-        parts.append(_pair(own.where(F.col("n") * GRAMS >= total)))
-    return Trie(parts), total
+def trie_of(counts: DataFrame) -> Trie:
+    """The trie of the counted grams and all their suffixes.
+
+    The least count that a gram needs is the same in every order, so a kept gram's suffixes are kept; it is found from a
+    histogram of counts in steps of a sixteenth of an octave, at the lowest step where no order has over GRAMS grams.
+    """
+    mask = F.element_at(F.array(*[F.lit((1 << 8 * (j + 1)) - 1) for j in range(ORDER + 1)]), F.col("j") + 1)
+    each = counts.where("kind = 1").select(F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("j"), "key", "n")
+    grams = materialize(each.groupBy("j", F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "grams")
+    least = 0
+    held: dict[int, int] = {}
+    for row in grams.groupBy("j", "step").count().orderBy(F.desc("step"), "j").collect():
+        held[row.j] = held.get(row.j, 0) + row["count"]
+        if held[row.j] > GRAMS:
+            least = max(least, row.step + 1)
+    kept = grams.where(F.col("step") >= least).select("j", "key", "n").toArrow()
+    release(grams)
+    j, key, n = (kept.column(c).to_numpy() for c in ("j", "key", "n"))
+    return Trie([(key[j == k], n[j == k]) for k in range(ORDER + 1)])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -156,7 +166,7 @@ def score(docs: DataFrame) -> DataFrame:
     words = counts.where("kind = 0")
     n_all, v_all = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot_key, hot_n = _pair(words.where(F.col("n") * TOKENS >= n_all).select("key", "n").orderBy("key"))
-    trie, _ = trie_of(counts)
+    trie = trie_of(counts)
     shared = spark.sparkContext.broadcast((trie, hot_key, hot_n))
 
     def run(batches):
