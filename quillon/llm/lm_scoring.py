@@ -167,11 +167,11 @@ def score(docs: DataFrame) -> DataFrame:
     n_all, v_all = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot_key, hot_n = _pair(words.where(F.col("n") * TOKENS >= n_all).select("key", "n").orderBy("key"))
     trie = trie_of(counts)
+    end_n = docs.where(~F.col("held_out")).count()  # each training document has one end
     shared = spark.sparkContext.broadcast((trie, hot_key, hot_n))
 
     def run(batches):
         trie, hot_key, hot_n = shared.value
-        end_at, end_known = _find(hot_key, np.array([_END_TOKEN]).view(np.int64))
         for batch in batches:
             ids, out_of = batch.column("doc_id"), batch.column("held_out")
             for first, last, data, offsets in text_blocks(batch.column("text"), _BLOCK):
@@ -186,8 +186,7 @@ def score(docs: DataFrame) -> DataFrame:
                 rare = ~hot[code]
                 ends = np.bincount(doc[rare], minlength=last - first).cumsum()
                 rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(found[code[rare]]))
-                if end_known[0]:
-                    known, base = known + 1, base + np.log10(hot_n[end_at[0]] + 1.0)
+                known, base = known + (end_n > 0), base + np.log10(end_n + 1.0)
                 grams, n_grams = byte_grams(data, offsets)
                 gram_code, gram_found = pd.factorize(grams)
                 ppm = np.bincount(np.repeat(np.arange(last - first), n_grams), trie.log10(gram_found)[gram_code], last - first)
