@@ -5,9 +5,12 @@ the smallest remainder of a bucket is kept as its leading-zero count and ``MANTI
 Candidates: documents with equal shingle sets are one class, told by a 128-bit digest of the set. Class representatives
 meet in bands of ``ROWS`` registers. Each representative is compared with the smallest of every bucket it is in, the
 collision-corrected register estimate picks the best of them, and the full sets decide. What those links have not joined
-is compared again: all pairs of different components in small buckets; large buckets are first refined by a second band
-and then, in rounds, one member is compared with all members of other components; pairs still open after the rounds are
-enumerated. So no bucket is capped, and a bucket of copies costs a row per copy, not a row per pair.
+is compared again by registers, all pairs of different components in a bucket; buckets over ``SMALL_BUCKET`` are refined
+by a second band first. Only pairs whose registers allow a link become rows, and the full sets decide on them. No bucket
+is capped, and a bucket of copies costs a row per copy, not a row per pair.
+
+What banding may miss: a pair at the threshold shares no band with probability 5e-6, and fewer than two (which a large
+bucket asks for) with 9e-5; more alike, far less.
 
 Defined cases: null text is empty text; a document without words has an empty set, no links and is kept; fewer than five
 words form one shingle; rows with a null doc_id keep a null component and are kept; repeated doc_ids are one document's
@@ -29,8 +32,8 @@ BANDS = BUCKETS // ROWS
 EMPTY = np.uint16(0xFFFF)
 #: Buckets of up to so many representatives are compared pair by pair; larger ones are refined and take the rounds.
 SMALL_BUCKET = 24
-#: Rounds of one-against-all in large buckets before the remaining pairs are enumerated.
-ROUNDS = 4
+#: From this estimate on, a smaller id counts for more than a higher estimate.
+SURE = 0.85
 THRESHOLD = 0.75
 
 _BITS = BUCKETS.bit_length() - 1
@@ -152,25 +155,25 @@ def _confirmed(pairs: DataFrame, n_pairs: int, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for the nodes of ``links`` (a, b), by alternating large-star and small-star."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    state, last = None, None
+    """node, component (its smallest node) for the nodes of ``links`` (a, b), by alternating large-star and small-star.
+
+    It ends when each node points at one node, and none at a node that points elsewhere: every component is a star then.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         step = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         new = materialize(step, "stars")
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(state)
         state = edges = new
-        if mark == last:
-            break
-        last = mark
-    out = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return out
+        outs = new.groupBy("u").agg(F.count("*").alias("n"))
+        if outs.where("n > 1").isEmpty() and new.select("v").distinct().join(outs, F.col("u") == F.col("v"), "left_semi").isEmpty():
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
 def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -180,15 +183,67 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _open(rows: DataFrame, *keep: str) -> DataFrame:
-    """Rows of the buckets that hold two or more components, with the bucket's size and smallest members."""
-    stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key", "n")
-    return rows.join(stats, "key").select("key", "rep", "component", "n", *keep)
+    """Rows of the buckets that hold two or more components, with the bucket's size; of buckets with the same members, one."""
+    stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    one = stats.where("c1 <> c2").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    return rows.join(one, "key").select("key", "rep", "component", "n", *keep)
+
+
+def _candidates(i: np.ndarray, j: np.ndarray, rep: np.ndarray, regs: np.ndarray, n: np.ndarray):
+    """Of the pairs (i, j) of rows: those whose sizes and estimates allow a link."""
+    fit = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 75
+    i, j = i[fit], j[fit]
+    for k in range(0, len(i), 20_000):
+        x, y = i[k : k + 20_000], j[k : k + 20_000]
+        est, used = estimate(regs[x], regs[y], n[x], n[y])
+        keep = est >= THRESHOLD - 4 * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.maximum(used, 1))
+        if keep.any():
+            x, y = rep[x[keep]], rep[y[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _bucket_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of different components within buckets that may be linked by their registers.
+
+    Buckets stream through in order of key. A bucket's pairs are compared where they stand and only those that may be
+    linked come out, so no bucket is spelled out in rows. In a bucket with one large component, its pairs with the rest
+    are compared, which is linear in its size.
+    """
+    dealt = rows.join(reps.select("rep", "n_shingles", "regs"), "rep").select("key", "component", "rep", "n_shingles", "regs").repartition("key").sortWithinPartitions("key", "component")
+
+    def pairs_of(key, comp, rep, n, regs):
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((first, [len(key)])))
+        of_small = np.repeat(size <= SMALL_BUCKET, size)
+        for d in range(1, SMALL_BUCKET):
+            i = np.flatnonzero((key[d:] == key[:-d]) & (comp[d:] != comp[:-d]) & of_small[d:]) if d < len(key) else np.zeros(0, np.int64)
+            if len(i):
+                yield from _candidates(i, i + d, rep, regs, n)
+        for lo, m in zip(first[size > SMALL_BUCKET], size[size > SMALL_BUCKET], strict=True):
+            own = np.arange(lo, lo + m)
+            kinds, count = np.unique(comp[own], return_counts=True)
+            most = comp[own] == kinds[count.argmax()]
+            rest = own[~most]
+            for k, x in enumerate(rest):  # with all of the largest component, and with what comes later of the others
+                later = rest[k + 1 :]
+                other = np.concatenate((own[most], later[comp[later] != comp[x]]))
+                yield from _candidates(np.full(len(other), x), other, rep, regs, n)
 
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            whole = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
+            yield from pairs_of(*(x[:whole] for x in now)) if whole else ()
+            held = [x[whole:] for x in now]
+        if held is not None:
+            yield from pairs_of(*held)
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different components within a bucket."""
-    b = rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    return rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")).join(b, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -202,48 +257,38 @@ def link_components(docs: DataFrame) -> DataFrame:
     rows = materialize(banded.join(busy, "key"), "bands")
     # First: the best of the buckets' smallest members.
     stars = rows.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    best = _estimated(stars, reps).groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
-    links, comps = None, None
+    # Of those that are surely alike the smallest one, which most others choose too; else the most alike.
+    choice = F.struct(F.least("est", F.lit(SURE)), -F.col("a"))
+    best = _estimated(stars, reps).groupBy("b").agg(F.max_by("a", choice).alias("a"))
+    comps = None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def judged(pairs: DataFrame, comps, links, name: str):
+    def judged(pairs: DataFrame, comps, name: str):
         pairs = materialize(pairs.select("a", "b"), name)
         n = pairs.count()
         if n:
             new = _confirmed(pairs, n, texts)
-            if new.isEmpty():
-                release(new)
-            else:
-                links = new if links is None else materialize(links.unionByName(new), "links")
-                comps = materialize(components(links), "components")
+            if not new.isEmpty():
+                # What was joined before enters as a star, which is no larger than its links.
+                edges = new if comps is None else new.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+                old, comps = comps, materialize(components(edges), "components")
+                release(old)
+            release(new)
         release(pairs)
-        return comps, links, n
+        return comps
 
-    comps, links, _ = judged(best, comps, links, "stars")
+    comps = judged(best, comps, "stars")
     # Then: what is still apart. Large buckets are refined by every later band of their members.
     open_ = materialize(_open(_labelled(rows.select("key", "rep", "band"), comps), "band"), "open")
+    inside = open_.where(F.col("n") <= SMALL_BUCKET).select("key", "rep", "component")
     large = open_.where(F.col("n") > SMALL_BUCKET)
-    pairs = _all_pairs(open_.where(F.col("n") <= SMALL_BUCKET))
     refined = None
     if not large.isEmpty():
         later = rows.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2"))
         finer = large.join(later, "rep").where("band2 > band").select(F.xxhash64("key", "key2").alias("key"), "rep", "component")
         refined = materialize(_open(finer), "refined")
-        pairs = pairs.unionByName(_all_pairs(refined.where(F.col("n") <= SMALL_BUCKET))).distinct()
-    comps, links, _ = judged(_estimated(pairs, reps), comps, links, "pairs")
-    if refined is not None:
-        left = refined.where(F.col("n") > SMALL_BUCKET).select("key", "rep")
-        for k in range(ROUNDS + 1):
-            open2 = materialize(_open(_labelled(left, comps)), "left")
-            if open2.isEmpty():
-                break
-            if k < ROUNDS:
-                pick = open2.groupBy("key").agg(F.max_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(k))).alias("p"))
-                pairs = open2.join(pick, "key").where("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-            else:
-                pairs = _all_pairs(open2)
-            comps, links, _ = judged(_estimated(pairs, reps), comps, links, "round")
-            release(open2)
+        inside = inside.unionByName(refined.select("key", "rep", "component"))
+    comps = judged(_bucket_pairs(inside, reps), comps, "pairs")
     release(open_, refined, rows)
     classes = reps.select("set_id", "n_shingles", "rep", "copies")
     if comps is not None:
@@ -255,7 +300,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     out = sketches.select("doc_id", "n_shingles", "set_id").join(told, (F.col("set_id") == F.col("s")) & (F.col("n_shingles") == F.col("n")) & F.col("doc_id").isNotNull(), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = materialize(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
-    release(sketches, reps, comps, links)
+    release(sketches, reps, comps)
     return out
 
 
