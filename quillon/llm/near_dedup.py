@@ -310,5 +310,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component, the one with the smallest id; null ids and empty texts stay."""
-    kept = link_components(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(docs.columns)
+    gone = link_components(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)

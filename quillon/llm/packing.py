@@ -7,7 +7,7 @@ duplicate cluster; if none does, a new bin is opened. Without a ``cluster`` colu
 words are a cluster.
 
 Documents are dealt by hash to shards of about ``SHARD`` documents, packed independently: bins of different shards never
-meet, a hot source or cluster spreads over all shards, and a task holds a few thousand (id, source, cluster, length) rows
+meet, a hot source or cluster spreads over all shards, and a task holds some thousand (id, source, cluster, length) rows
 whatever the corpus. The price is at most some partly filled bins a shard.
 
 Defined cases: null text is empty and takes one token; null sources are one source; a null doc_id is packed like others;
@@ -26,7 +26,7 @@ from .common import table
 from .native import words
 
 CAPACITY = 2048
-SHARD = 4000
+SHARD = 2000
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[int]:
