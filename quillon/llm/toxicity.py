@@ -28,6 +28,7 @@ from .common import _LOWER, materialize, sample_of_labels, small, table, text_bl
 TRAIN_ROWS = 2000
 ORDER, SHARED = 6, 3
 DISCOUNT = 3.0
+FOLDS = 3
 WINDOWS = (12, 30, 90, 300)
 _WORD = _LOWER.copy()
 _WORD[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 32
@@ -62,24 +63,34 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key, counts
 
 
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of the texts and their counts, a block of text at a time."""
+    return merged([np.unique(grams(d, o)[0], return_counts=True) for _, _, d, o in text_blocks(pa.array(texts, pa.string()), 2 << 20)])
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
+
+
 class KneserNey:
-    """Two models of bytes; index 0 is ordinary, 1 toxic."""
+    """Two models of bytes from the counted grams of ordinary (0) and toxic (1) texts."""
 
-    def __init__(self, key: np.ndarray, counts: np.ndarray, toxic: np.ndarray):
-        of = np.repeat(toxic, counts)
+    def __init__(self, ordinary: tuple[np.ndarray, np.ndarray], toxic: tuple[np.ndarray, np.ndarray]):
         self.levels: list[list[tuple]] = [[], []]  # by class, from the longest grams down: grams, counts, contexts, totals, left
-        for c in (0, 1):
-            top = np.unique(key[of == c], return_counts=True)
+        for c, top in enumerate((ordinary, toxic)):
             for size in range(ORDER, SHARED, -1):
                 self.levels[c].append(self._level(*top, DISCOUNT))
                 top = np.unique(top[0] & ((1 << 8 * (size - 1)) - 1), return_counts=True)  # how many bytes each follows
-        both = np.unique(key)
+        self.known = both = np.union1d(ordinary[0], toxic[0])
         for size in range(SHARED, 0, -1):
             both, n = np.unique(both & ((1 << 8 * size) - 1), return_counts=True)
             level = self._level(both, n, 0.75)
             for c in (0, 1):
                 self.levels[c].append(level)
-        self.known = np.unique(key)  # their evidence is kept, others' is worked out when they come
+        # The evidence of known grams is kept, others' is worked out when they come.
         self.value = self.log(1, self.known) - self.log(0, self.known)
 
     @staticmethod
@@ -129,11 +140,6 @@ def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, where[at] == what
 
 
-def _all_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [grams(d, o) for _, _, d, o in text_blocks(pa.array(texts, pa.string()))]
-    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     """Ridge-penalised logistic regression by Newton's method; classes weighed to the share of class 1 in all labels."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -156,17 +162,17 @@ class Judge:
         if min((y == 0).sum(), (y == 1).sum()) < 4:
             self.prior = float(y.mean()) if len(y) else 0.5
             return
-        key, counts = _all_grams(texts)
         fold = np.zeros(len(y), np.int64)
         for c in (0, 1):
-            fold[np.flatnonzero(y == c)] = np.arange((y == c).sum()) % 3
+            fold[np.flatnonzero(y == c)] = np.arange((y == c).sum()) % FOLDS
+        parts = [[counted([t for t, f, z in zip(texts, fold, y, strict=True) if f == k and z == c]) for c in (0, 1)] for k in range(FOLDS)]
         x = np.zeros((len(y), 1 + len(WINDOWS)))
-        of = np.repeat(fold, counts)
-        for k in range(3):
-            model = KneserNey(key[of != k], counts[fold != k], y[fold != k])
-            x[fold == k] = model.evidence(key[of == k], counts[fold == k])
+        for k in range(FOLDS):
+            model = KneserNey(*(merged([parts[j][c] for j in range(FOLDS) if j != k]) for c in (0, 1)))
+            own = [t for t, f in zip(texts, fold, strict=True) if f == k]
+            x[fold == k] = np.concatenate([model.evidence(*grams(d, o)) for _, _, d, o in text_blocks(pa.array(own, pa.string()), 2 << 20)])
         self.weights = _logistic(x, y, y.mean() if share is None else share)
-        self.model = KneserNey(key, counts, y)
+        self.model = KneserNey(*(merged([parts[j][c] for j in range(FOLDS)]) for c in (0, 1)))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.prior is not None:
