@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .asof import asof_backward
 from .universe import by_ticker
 
 YEAR = 252**0.5
@@ -106,8 +107,8 @@ def beta(panel: DataFrame, bench: DataFrame) -> DataFrame:
         w = by_ticker(k)
         enough = F.count("_x").over(w) == k
         out[f"risk_beta_spy_{k}d"] = F.when(enough, ratio(F.covar_samp("_y", "_x").over(w), F.var_samp("_x").over(w)))
-        rho = F.corr("_y", "_x").over(w)
-        out[f"risk_idio_vol_spy_{k}d"] = F.when(enough, F.sqrt(F.greatest(F.var_samp("_y").over(w) * (1 - rho * rho), F.lit(0.0))) * YEAR)
+        cov = F.covar_samp("_y", "_x").over(w)  # var_y (1 - corr^2), without the division by 0 that corr() fails on
+        out[f"risk_idio_vol_spy_{k}d"] = F.when(enough, F.sqrt(F.greatest(F.var_samp("_y").over(w) - ratio(cov * cov, F.var_samp("_x").over(w)), F.lit(0.0))) * YEAR)
     return df.withColumns(out).drop("_x", "_y")
 
 
@@ -160,6 +161,12 @@ def valuation(panel: DataFrame, daily: DataFrame) -> DataFrame:
     return panel.join(daily, ["ticker", "date"], "left").withColumns({k: ratio(F.lit(1.0), F.col(v)) for k, v in pairs.items()})
 
 
+def fcf_yield(panel: DataFrame, filings: DataFrame) -> DataFrame:
+    """val_fcf_yield: free cash flow of the latest filing known on the day over that day's market_cap; null without either."""
+    known = asof_backward(panel, filings.select("ticker", "datekey", "fcf"), "ticker", "date", "datekey")
+    return known.withColumn("val_fcf_yield", ratio(F.col("fcf"), F.col("market_cap"))).drop("datekey", "fcf")
+
+
 def quality(filings: DataFrame) -> DataFrame:
     """Ratios of each filing (ticker, datekey, revenue, grossprofit, opinc, netinc, assets, equity, invcap, debt).
 
@@ -208,3 +215,24 @@ def buckets() -> Iterator[tuple[str, list[str]]]:
     yield "regime_context", ["regime_spy_return_21d", *(f"regime_spy_{x}_{k}d" for k in (50, 200) for x in ("trend", "above_ma")), "regime_spy_realized_vol_21d", "regime_spy_realized_vol_63d", "regime_spy_drawdown_252d", "regime_spy_risk_on_score_21d", "regime_breadth_px_return_21d_positive"]
     yield "cross_sectional_context", ["xs_px_return_21d_rank", "xs_liq_dollar_volume_rank", "xs_risk_realized_vol_21d_rank", "xs_liq_dollar_volume_z", "xs_risk_realized_vol_21d_z", "xs_px_return_21d_minus_spy"]
     yield "legacy_rsi", []
+
+
+def factor_panel(prices: DataFrame, bench: DataFrame, filings: DataFrame, daily: DataFrame, min_price: float = 5.0, min_adv: float = 1e6) -> DataFrame:
+    """All feature columns of a (ticker, date) panel, with closeadj and volume.
+
+    filings also has fcf, daily also has market_cap. Windows by ticker share the deal of ``prices``; the drawdown, which
+    Python computes, is joined back by ticker and date.
+    """
+    columns = [c for _, v in buckets() for c in v]
+    df = risk(liquidity(price(prices), min_price, min_adv))
+    df = beta(df.drop("r"), bench).drop("r", "rb")
+    df = df.join(max_drawdown(prices), ["ticker", "date"], "left")
+    ratios = quality(filings).select("ticker", "datekey", *[c for c in columns if c.startswith("qual_")])
+    df = asof_backward(df, ratios, "ticker", "date", "datekey").drop("datekey")
+    df = fcf_yield(valuation(df, daily), filings)
+    df = df.join(F.broadcast(regime(prices, bench)), "date", "left")
+    df = df.withColumns({
+        "xs_px_return_21d_rank": _rank("px_return_21d"), "xs_liq_dollar_volume_rank": _rank("liq_dollar_volume"), "xs_risk_realized_vol_21d_rank": _rank("risk_realized_vol_21d"),
+        "xs_liq_dollar_volume_z": _z("liq_dollar_volume"), "xs_risk_realized_vol_21d_z": _z("risk_realized_vol_21d"), "xs_px_return_21d_minus_spy": F.col("px_return_21d") - F.col("regime_spy_return_21d"),
+    })
+    return df.select("ticker", "date", "closeadj", "volume", *columns)

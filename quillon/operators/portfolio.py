@@ -31,7 +31,7 @@ def rank_ic(scores: DataFrame) -> DataFrame:
         w = Window.partitionBy("date")
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("date", c)) - 1) / 2
 
-    return both.withColumns({"_a": rank("score"), "_b": rank("target")}).groupBy("date").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rank_ic"))
+    return both.withColumns({"_a": rank("score"), "_b": rank("target")}).groupBy("date").agg(F.count("*").alias("n"), ratio(F.covar_samp("_a", "_b"), F.sqrt(F.var_samp("_a") * F.var_samp("_b"))).alias("rank_ic"))  # corr() fails on constant ranks
 
 
 def decile_means(scores: DataFrame) -> DataFrame:
@@ -40,6 +40,23 @@ def decile_means(scores: DataFrame) -> DataFrame:
     return scores.where("score IS NOT NULL AND target IS NOT NULL").withColumn("decile", F.ntile(10).over(w)).groupBy("decile").agg(F.count("*").alias("n"), F.avg("target").alias("mean_target"))
 
 
+def ablation(panel: DataFrame, variants: dict[str, list[str]], target: str = "target") -> DataFrame:
+    """variant, n_dates, mean_rank_ic of the mean percent rank of each variant's features: the model-free baseline.
+
+    All features of all variants are ranked in one pass; a row without a feature of a variant is left out of it.
+    """
+    names = sorted({c for v in variants.values() for c in v})
+    rank = {f"_{c}": F.when(F.col(c).isNotNull(), F.percent_rank().over(Window.partitionBy("date", F.col(c).isNull()).orderBy(c))) for c in names}
+    df = panel.withColumns(rank)
+    out = None
+    for name, columns in variants.items():
+        score = sum((F.col(f"_{c}") for c in columns[1:]), F.col(f"_{columns[0]}")) / len(columns)
+        ic = rank_ic(df.select("ticker", "date", F.round(score, 9).alias("score"), F.col(target).alias("target")))
+        own = ic.where("rank_ic IS NOT NULL").agg(F.count("*").alias("n_dates"), F.avg("rank_ic").alias("mean_rank_ic")).select(F.lit(name).alias("variant"), "n_dates", "mean_rank_ic")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def drawdown(series: DataFrame) -> DataFrame:
     """date, equity, drawdown of one return series (date, r): a row a date, ordered in one partition."""
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

@@ -50,14 +50,14 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("ticker"), F.col("o_orderdate").cast("date").alias("datekey"), "o_orderkey", F.col("o_totalprice").alias("p"))
     one = o.groupBy("ticker", "datekey").agg(F.max(F.struct("o_orderkey", "p")).alias("x")).select("ticker", "datekey", "x.*")
     p, k = F.col("p"), F.col("o_orderkey")
-    return one.select("ticker", "datekey", p.alias("revenue"), (p * 0.4).alias("grossprofit"), (p * 0.2).alias("opinc"), (p * (k % 7 - 2) / 10).alias("netinc"), (p * 2).alias("assets"), F.when(k % 5 != 0, p).otherwise(0.0).alias("equity"), (p * 1.5).alias("invcap"), (p * (k % 3)).alias("debt"))
+    return one.select("ticker", "datekey", p.alias("revenue"), (p * 0.4).alias("grossprofit"), (p * 0.2).alias("opinc"), (p * (k % 7 - 2) / 10).alias("netinc"), (p * 2).alias("assets"), F.when(k % 5 != 0, p).otherwise(0.0).alias("equity"), (p * 1.5).alias("invcap"), (p * (k % 3)).alias("debt"), (p * 0.1).alias("fcf"))
 
 
 def daily_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios for three in four ticker days; some are 0."""
     df = prices(spark, sf_dir).where(F.col("volume") % 4 != 0)
     c, v = F.col("closeadj"), F.col("volume")
-    return df.select("ticker", "date", F.when(v % 3 == 0, 0.0).otherwise(c / 100).alias("pe"), (c / 50).alias("ps"), (c / 20).alias("pb"), (v - 7).alias("evebit"), (v + 1).alias("evebitda"))
+    return df.select("ticker", "date", F.when(v % 3 == 0, 0.0).otherwise(c / 100).alias("pe"), (c / 50).alias("ps"), (c / 20).alias("pb"), (v - 7).alias("evebit"), (v + 1).alias("evebitda"), (c * 1000).alias("market_cap"))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -345,6 +345,21 @@ def _feat_quality(spark, d):
     return _round(features.quality(P.filings(spark, d)).select("ticker", "datekey", *_QUAL), dict.fromkeys(_QUAL, 6))
 
 
+@query(
+    "feat_fcf_yield",
+    f"WITH {_PX}, {_FIL} SELECT px.ticker, px.date, {_r('fil.revenue * 0.1 / NULLIF(px.closeadj * 1000, 0)')} AS val_fcf_yield FROM px ASOF LEFT JOIN fil ON px.ticker = fil.ticker AND px.date >= fil.datekey",
+)
+def _feat_fcf_yield(spark, d):
+    px = P.prices(spark, d).withColumn("market_cap", F.col("closeadj") * 1000)
+    return _round(features.fcf_yield(px, P.filings(spark, d)).select("ticker", "date", "val_fcf_yield"), {"val_fcf_yield": 6})
+
+
+@query("factor_panel")
+def _factor_panel(spark, d):
+    px = P.prices(spark, d)
+    return features.factor_panel(px, features.benchmark(px), P.filings(spark, d), P.daily_ratios(spark, d), min_adv=30_000)
+
+
 @query("asof_fundamentals", f"WITH {_PX}, {_FIL} SELECT px.ticker, px.date, px.closeadj, fil.datekey, fil.revenue FROM px ASOF LEFT JOIN fil ON px.ticker = fil.ticker AND px.date >= fil.datekey")
 def _asof_fundamentals(spark, d):
     right = P.filings(spark, d).select("ticker", "datekey", "revenue")
@@ -694,7 +709,7 @@ def _topk(spark, d):
 SELECT date, count(*) AS n, {_r("CASE WHEN var_samp(a) > 0 AND var_samp(b) > 0 THEN corr(a, b) END")} AS rank_ic FROM k GROUP BY date""",
 )
 def _rank_ic(spark, d):
-    return portfolio.rank_ic(_scores(spark, d)).withColumn("rank_ic", rounded(F.when(~F.isnan("rank_ic"), F.col("rank_ic"))))
+    return _round(portfolio.rank_ic(_scores(spark, d)), {"rank_ic": 6})
 
 
 @query("metric_decile", f"WITH {_SCORE}, t AS (SELECT ntile(10) OVER (PARTITION BY date ORDER BY score, ticker) AS decile, target FROM sc WHERE target IS NOT NULL) SELECT CAST(decile AS INTEGER) AS decile, count(*) AS n, {_r('avg(target)')} AS mean_target FROM t GROUP BY decile")
@@ -702,6 +717,25 @@ def _decile(spark, d):
     return _round(portfolio.decile_means(_scores(spark, d)), {"mean_target": 6})
 
 
+def _ablation_sql() -> str:
+    pr = lambda c: f"CASE WHEN {c} IS NOT NULL THEN percent_rank() OVER (PARTITION BY date, {c} IS NULL ORDER BY {c}) END"
+    parts = []
+    for name, score in (("momentum", "m"), ("momentum_volume", "(m + v) / 2")):
+        parts.append(
+            f"""SELECT '{name}' AS variant, count(ic) AS n_dates, {_r("avg(ic)")} AS mean_rank_ic FROM (SELECT date, CASE WHEN var_samp(a) > 0 AND var_samp(b) > 0 THEN corr(a, b) END AS ic FROM (SELECT date,
+rank() OVER (PARTITION BY date ORDER BY s) + (count(*) OVER (PARTITION BY date, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date ORDER BY target) + (count(*) OVER (PARTITION BY date, target) - 1) / 2.0 AS b
+FROM (SELECT date, round({score}, 9) AS s, target FROM ab WHERE target IS NOT NULL AND {score} IS NOT NULL)) GROUP BY date)"""
+        )
+    return f"WITH {_SCORE}, sv AS (SELECT sc0.*, px.volume FROM sc0 JOIN px USING (ticker, date)), ab AS (SELECT date, target, {pr('score')} AS m, {pr('volume')} AS v FROM sv) " + " UNION ALL ".join(parts)
+
+
+@query("ablation", _ablation_sql())
+def _ablation(spark, d):
+    df = labels.forward(features.price(P.prices(spark, d)), (5,))
+    df = df.select("ticker", "date", "volume", F.round("px_return_5d", 6).alias("score"), F.round("target_5d", 6).alias("target"))
+    return _round(portfolio.ablation(df, {"momentum": ["score"], "momentum_volume": ["score", "volume"]}), {"mean_rank_ic": 6})
+
+
 _SERIES = "ser AS (SELECT date, rb / 1000 AS r FROM bench)"
 _DD = _BENCH + f", {_SERIES}, eq AS (SELECT date, r, exp(sum(ln(1 + coalesce(r, 0))) OVER (ORDER BY date)) AS equity FROM ser), dd AS (SELECT *, equity / greatest(max(equity) OVER (ORDER BY date), 1.0) - 1 AS drawdown FROM eq)"
 

@@ -152,3 +152,15 @@ def test_promotion():
     assert portfolio.promotion(good, base)["promoted"]
     bad = portfolio.promotion(good | {"turnover": 0.6}, base)
     assert bad["rejected"] == ["turnover_within_bound"] and "REJECTED" in portfolio.promotion_report("x", bad)
+
+
+def test_factor_panel_has_every_column_once(spark):
+    px = _panel(spark, 40, ("A", "B"), ("C",), 30)
+    bench = features.benchmark(px)
+    filings = spark.createDataFrame([("A", D(2020, 1, 10), *[10.0] * 9)], "ticker string, datekey date, revenue double, grossprofit double, opinc double, netinc double, assets double, equity double, invcap double, debt double, fcf double")
+    daily = px.select("ticker", "date", *[F.lit(2.0).alias(c) for c in ("pe", "ps", "pb", "evebit", "evebitda")], F.lit(100.0).alias("market_cap"))
+    got = features.factor_panel(px, bench, filings, daily)
+    columns = [c for _, v in features.buckets() for c in v]
+    assert got.columns == ["ticker", "date", "closeadj", "volume", *columns] and len(columns) == 68 and got.count() == 110
+    assert got.where("val_fcf_yield IS NOT NULL").count() == got.where("qual_roa IS NOT NULL").count() == 31
+    assert reports.unclassified(got.columns, dict(features.buckets())) == ["closeadj", "volume"]
