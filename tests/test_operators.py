@@ -137,7 +137,7 @@ def test_entities(spark):
 
 
 def test_simulator_respects_bounds(spark):
-    rows = [("p", f"T{i:02d}", D(2026, m, 1), f"S{i % 3}", (i + m * 2) % 40 / 39) for m in range(1, 7) for i in range(40)]
+    rows = [("p", f"T{i:02d}", D(2026, m, 1), f"S{i % 3}", (i - m * 5) % 40 / 39) for m in range(1, 7) for i in range(40)]
     df = spark.createDataFrame(rows, "portfolio string, ticker string, date date, sector string, pct double")
     out = portfolio.simulate(df, holdings=10, max_weight=0.04, max_sector=0.08, max_turnover=0.1, buy=0.8).toPandas()
     by_day = out.groupby("date")
