@@ -1,12 +1,14 @@
 """MinHash near-dedup with HyperMinHash sketches: bands of compressed registers find candidates, full sets confirm them.
 
 Sketch: a document's distinct 5-word shingles are hashed to 64 bits; the top bits choose one of ``BUCKETS`` registers and
-the smallest remainder of a bucket is kept as its leading-zero count and ``MANTISSA`` bits (two bytes a register).
+the smallest remainder of a bucket is kept as its leading-zero count and ``MANTISSA`` bits (two bytes a register). A finer
+sketch of ``FINE`` one-byte registers of the same kind serves the estimates.
 Candidates: documents with equal shingle sets are one class, told by a 128-bit digest of the set. Class representatives
 meet in bands of ``ROWS`` registers. Each representative is compared with the smallest of every bucket it is in, the
 collision-corrected register estimate picks the best of them, and the full sets decide. What those links have not joined
 is compared again by registers, all pairs of different components in a bucket; buckets over ``SMALL_BUCKET`` are refined
-by a second band first. Only pairs whose registers allow a link become rows, and the full sets decide on them. No bucket
+by a second band first. Likely pairs that would join two components are tried first, then, between components still
+apart, all pairs whose registers allow a link; only these become rows, and the full sets decide on them. No bucket
 is capped, and a bucket of copies costs a row per copy, not a row per pair.
 
 What banding may miss: a pair at the threshold shares no band with probability 5e-6, and fewer than two (which a large
@@ -29,64 +31,82 @@ from .common import materialize, mix, release, shingle_sets, small, table
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
+#: Buckets and mantissa bits of the second, finer sketch, which estimates read.
+FINE, FINE_MANTISSA = 512, 4
+#: Pairs so many deviations below the threshold are not confirmed.
+DEVIATIONS = 4
 EMPTY = np.uint16(0xFFFF)
 #: Buckets of up to so many representatives are compared pair by pair; larger ones are refined and take the rounds.
 SMALL_BUCKET = 24
+#: From this estimate on, a pair is tried first where it would join two components.
+LIKELY = 0.78
 #: From this estimate on, a smaller id counts for more than a higher estimate.
 SURE = 0.85
 THRESHOLD = 0.75
 
-_BITS = BUCKETS.bit_length() - 1
-_EDGES = (np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - _BITS)).astype(np.uint64)
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
+def registers(shingles: np.ndarray, buckets: int = BUCKETS, mantissa: int = MANTISSA) -> np.ndarray:
     """The sketch of one sorted set: of each bucket's smallest remainder, leading zeros and the bits after the first one."""
-    out = np.full(BUCKETS, EMPTY, dtype=np.uint16)
+    bits = buckets.bit_length() - 1
+    out = np.full(buckets, EMPTY, dtype=np.uint16)
     if not len(shingles):
         return out
-    at = np.searchsorted(shingles, _EDGES)
+    at = np.searchsorted(shingles, np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits))
     full = at < np.concatenate((at[1:], [len(shingles)]))
-    rest = (shingles[at[full]] << np.uint64(_BITS)) >> np.uint64(11)  # 53 bits, exact as a double
+    rest = (shingles[at[full]] << np.uint64(bits)) >> np.uint64(11)  # 53 bits, exact as a double
     part, power = np.frexp(rest.astype(np.float64))
     zeros = np.minimum(53 - power, 62)
-    tail = np.where(rest > 0, (part * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)
-    out[full] = (zeros.astype(np.int64) << MANTISSA | tail).astype(np.uint16)
+    tail = np.where(rest > 0, (part * 2 - 1) * (1 << mantissa), 0).astype(np.int64)
+    out[full] = (zeros.astype(np.int64) << mantissa | tail).astype(np.uint16)
     return out
 
 
+def fine_registers(shingles: np.ndarray) -> np.ndarray:
+    """The sketch for estimates: more buckets of one byte, four bits of leading zeros and four of the mantissa; 255: empty."""
+    wide = registers(shingles, FINE, FINE_MANTISSA)
+    return np.where(wide == EMPTY, 255, np.minimum(wide & 255, 254)).astype(np.uint8)
+
+
 def chance(n: np.ndarray) -> np.ndarray:
     """For sets of n shingles: the chance that the smallest remainder of a bucket has i leading zeros, for i < 48."""
     i = np.arange(48)
-    per = np.asarray(n, dtype=np.float64)[:, None] / BUCKETS
+    per = np.asarray(n, dtype=np.float64)[:, None] / FINE
     return np.exp(-per * 0.5 ** (i + 1)) - np.exp(-per * 0.5**i)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of rows of registers, corrected for equal registers by accident, and the buckets in use.
+    """Jaccard estimates of rows of fine registers, corrected for registers that are equal by accident, and the deviation
+    of such an estimate at the threshold.
 
-    Two unrelated minima agree in zeros and mantissa with probability sum_i p_a(i) p_b(i) / 2**MANTISSA.
+    Two unrelated minima agree in zeros and mantissa with probability sum_i p_a(i) p_b(i) / 2**FINE_MANTISSA. The buckets
+    in use are a sample, without replacement, of the union's shingles: the more of them it holds, the less it deviates.
     """
-    used = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
-    same = ((a == b) & (a != EMPTY)).sum(axis=1)
-    accident = used * (chance(n_a) * chance(n_b)).sum(axis=1) / (1 << MANTISSA)
-    return np.clip((same - accident) / np.maximum(used - accident, 1e-9), 0, 1), used
+    used = np.maximum(((a != 255) | (b != 255)).sum(axis=1), 1)
+    same = ((a == b) & (a != 255)).sum(axis=1)
+    accident = used * (chance(n_a) * chance(n_b)).sum(axis=1) / (1 << FINE_MANTISSA)
+    est = np.clip((same - accident) / np.maximum(used - accident, 1e-9), 0, 1)
+    union = (n_a + n_b) / (1 + THRESHOLD)
+    left = np.clip(1 - used / np.maximum(union, 1), 0, 1)
+    spread = THRESHOLD * (1 - THRESHOLD) * left / used + accident / used**2 + 1 / used**2
+    return est, np.sqrt(spread)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set), regs: one row per input row."""
+    """doc_id, n_shingles, set_id (digest of the set), regs, fine: one row per input row."""
 
     def run(batches):
         for batch in batches:
-            ids, number, digest, regs = batch.column(0), [], [], []
+            ids, number, digest, regs, fine = batch.column(0), [], [], [], []
             for _, _, sets in shingle_sets(batch.column(1)):
                 for s in sets:
                     number.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                     regs.append(registers(s).tobytes())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_id", "regs"])
+                    fine.append(fine_registers(s).tobytes())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "n_shingles", "set_id", "regs", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, regs binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, regs binary, fine binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -108,7 +128,7 @@ def bands(reps: DataFrame) -> DataFrame:
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes allow the threshold and whose estimate is within four deviations of it, with est."""
-    side = lambda p: reps.select(F.col("rep").alias(p), F.col("regs").alias(f"r_{p}"), F.col("n_shingles").alias(f"n_{p}"))
+    side = lambda p: reps.select(F.col("rep").alias(p), F.col("fine").alias(f"r_{p}"), F.col("n_shingles").alias(f"n_{p}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75))
 
     def run(batches):
@@ -116,9 +136,9 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             col = {f: batch.column(f) for f in batch.schema.names}
-            r_a, r_b = (np.frombuffer(b"".join(col[k].to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS) for k in ("r_a", "r_b"))
-            est, used = estimate(r_a, r_b, col["n_a"].to_numpy(), col["n_b"].to_numpy())
-            keep = np.flatnonzero(est >= THRESHOLD - 4 * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.maximum(used, 1)))
+            r_a, r_b = (np.frombuffer(b"".join(col[k].to_pylist()), dtype=np.uint8).reshape(-1, FINE) for k in ("r_a", "r_b"))
+            est, spread = estimate(r_a, r_b, col["n_a"].to_numpy(), col["n_b"].to_numpy())
+            keep = np.flatnonzero(est >= THRESHOLD - DEVIATIONS * spread)
             yield pa.RecordBatch.from_arrays([col["a"].take(pa.array(keep)), col["b"].take(pa.array(keep)), pa.array(est[keep])], ["a", "b", "est"])
 
     return both.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a long, b long, est double")
@@ -190,26 +210,47 @@ def _open(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _candidates(i: np.ndarray, j: np.ndarray, rep: np.ndarray, regs: np.ndarray, n: np.ndarray):
-    """Of the pairs (i, j) of rows: those whose sizes and estimates allow a link."""
+    """Of the pairs (i, j) of rows: those whose sizes and estimates allow a link, and the estimates."""
     fit = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 75
     i, j = i[fit], j[fit]
     for k in range(0, len(i), 20_000):
         x, y = i[k : k + 20_000], j[k : k + 20_000]
-        est, used = estimate(regs[x], regs[y], n[x], n[y])
-        keep = est >= THRESHOLD - 4 * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.maximum(used, 1))
+        est, spread = estimate(regs[x], regs[y], n[x], n[y])
+        keep = est >= THRESHOLD - DEVIATIONS * spread
         if keep.any():
-            x, y = rep[x[keep]], rep[y[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            yield x[keep], y[keep], est[keep]
+
+
+def _joining(i: np.ndarray, j: np.ndarray, est: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Of pairs from ``LIKELY`` on, most alike first, those that join two components which none before has joined."""
+    up: dict[int, int] = {}
 
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
 
-def _bucket_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    order = np.flatnonzero(est >= LIKELY)
+    order = order[np.argsort(-est[order], kind="stable")]
+    keep = []
+    for k, a, b in zip(order.tolist(), comp[i[order]].tolist(), comp[j[order]].tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            up[a] = b
+            keep.append(k)
+    return np.array(keep, dtype=np.int64)
+
+
+def _bucket_pairs(rows: DataFrame, reps: DataFrame, all_pairs: bool) -> DataFrame:
     """Pairs of different components within buckets that may be linked by their registers.
 
     Buckets stream through in order of key. A bucket's pairs are compared where they stand and only those that may be
     linked come out, so no bucket is spelled out in rows. In a bucket with one large component, its pairs with the rest
-    are compared, which is linear in its size.
+    are compared, which is linear in its size. Without ``all_pairs`` only as many likely pairs come out as would join the
+    bucket's components, which is at most a row for each.
     """
-    dealt = rows.join(reps.select("rep", "n_shingles", "regs"), "rep").select("key", "component", "rep", "n_shingles", "regs").repartition("key").sortWithinPartitions("key", "component")
+    dealt = rows.join(reps.select("rep", "n_shingles", "fine"), "rep").select("key", "component", "rep", "n_shingles", "fine").repartition("key").sortWithinPartitions("key", "component")
 
     def pairs_of(key, comp, rep, n, regs):
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -229,19 +270,32 @@ def _bucket_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
                 other = np.concatenate((own[most], later[comp[later] != comp[x]]))
                 yield from _candidates(np.full(len(other), x), other, rep, regs, n)
 
+    def told(key, comp, rep, n, regs):
+        found = list(pairs_of(key, comp, rep, n, regs))
+        if not found:
+            return
+        i, j, est = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not all_pairs:
+            keep = _joining(i, j, est, comp)
+            i, j = i[keep], j[keep]
+        pairs = np.unique(np.column_stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]), axis=0)
+        for k in range(0, len(pairs), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 100_000, c].copy()) for c in (0, 1)], ["a", "b"])
+
     def run(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, FINE)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             whole = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
-            yield from pairs_of(*(x[:whole] for x in now)) if whole else ()
+            if whole:
+                yield from told(*(x[:whole] for x in now))
             held = [x[whole:] for x in now]
         if held is not None:
-            yield from pairs_of(*held)
+            yield from told(*held)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -251,7 +305,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sketches = materialize(sketch(docs), "sketch")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
-    reps = materialize(full.groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.count("*").alias("copies")), "reps")
+    reps = materialize(full.groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("fine").alias("fine"), F.count("*").alias("copies")), "reps")
     banded = bands(reps)
     busy = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     rows = materialize(banded.join(busy, "key"), "bands")
@@ -288,7 +342,11 @@ def link_components(docs: DataFrame) -> DataFrame:
         finer = large.join(later, "rep").where("band2 > band").select(F.xxhash64("key", "key2").alias("key"), "rep", "component")
         refined = materialize(_open(finer), "refined")
         inside = inside.unionByName(refined.select("key", "rep", "component"))
-    comps = judged(_bucket_pairs(inside, reps), comps, "pairs")
+    comps = judged(_bucket_pairs(inside, reps, False), comps, "joins")
+    left = materialize(_open(_labelled(inside.select("key", "rep"), comps)), "left")
+    if not left.isEmpty():
+        comps = judged(_bucket_pairs(left, reps, True), comps, "pairs")
+    release(left)
     release(open_, refined, rows)
     classes = reps.select("set_id", "n_shingles", "rep", "copies")
     if comps is not None:

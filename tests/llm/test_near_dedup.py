@@ -88,10 +88,10 @@ def test_estimate_is_close_and_corrected():
             both = int(round(2 * n * j / (1 + j)))
             pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : 2 * n - both]]))
-            est, used = N.estimate(N.registers(a)[None], N.registers(b)[None], np.array([n]), np.array([n]))
-            assert used[0] > 100
+            est, spread = N.estimate(N.fine_registers(a)[None], N.fine_registers(b)[None], np.array([n]), np.array([n]))
+            assert spread[0] < 0.03
             errors.append(est[0] - j)
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.03
 
 
 def test_components_of_a_path(spark):
