@@ -6,10 +6,11 @@ known context has not seen costs an escape, distinct / (total + distinct), and i
 where the symbols that the longer one has seen are excluded; below order 0 all bytes left are equally likely. The code
 length of a text is the sum over its bytes and its end; ``score`` is its log10 probability.
 
-Sizes: the trie has room for ``GRAMS`` grams of each order; where a corpus has more, the ones counted most often are
-kept, so its size is bounded whatever the corpus. A token's count is looked up in a table of the tokens that
-make up one in ``TOKENS`` of all tokens or more (so at most ``TOKENS`` of them); rarer ones are joined by their 64-bit
-hash, and hot tokens never reach that join.
+Sizes: no gram is dropped. The log-probabilities of at most ``GRAMS`` grams, those counted most often, are looked up; the
+others are joined by their key, and those that training has not seen take their escapes by joins with the contexts of
+each order. A token's count is looked up in a table of the tokens that make up one in ``TOKENS`` of all tokens or more (so
+at most ``TOKENS`` of them); rarer ones are joined by their 64-bit hash, and hot tokens never reach that join.
+``Trie`` is the same model in memory, for small corpora.
 
 Defined cases: null text is empty and consists of its end only; without training documents every count is 0; repeated
 doc_ids give a row each; a null doc_id is held out (it has no remainder) and scored; extra columns are ignored.
@@ -20,10 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, materialize, release, table, text_blocks, word_hashes, words_of
+from .common import _LOWER, materialize, release, small, table, text_blocks, word_hashes, words_of
 
 ORDER = 5
 GRAMS = 1_500_000
@@ -137,25 +138,53 @@ def _pair(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got.column(0).to_numpy(), got.column(1).to_numpy()
 
 
-def trie_of(counts: DataFrame) -> Trie:
-    """The trie of the counted grams and all their suffixes.
+def gram_table(counts: DataFrame) -> DataFrame:
+    """key, n, p, step of every training gram: p is its log10 probability after its whole context, step its count in
+    sixteenths of an octave."""
+    context = Window.partitionBy(F.shiftright("key", 8))
+    p = F.log10("n") - F.log10(F.sum("n").over(context) + F.count("*").over(context))
+    return materialize(counts.where("kind = 1").select("key", "n", p.alias("p"), F.floor(F.log2("n") * 16).cast("int").alias("step")), "grams")
 
-    The least count that a gram needs is the same in every order, so a kept gram's suffixes are kept; it is found from a
-    histogram of counts in steps of a sixteenth of an octave, at the lowest step where no order has over GRAMS grams.
+
+def hot_step(grams: DataFrame) -> int:
+    """The lowest step from which on there are at most GRAMS grams."""
+    least, held = 1 << 30, 0
+    for row in grams.groupBy("step").count().orderBy(F.desc("step")).collect():
+        held += row["count"]
+        if held > GRAMS:
+            break
+        least = row.step
+    return least
+
+
+def backed_off(keys: DataFrame, n_keys: int, grams: DataFrame) -> DataFrame:
+    """key, p of grams that training has not seen after their whole context: the escapes of ``Trie.log10``, by joins.
+
+    ``seen`` holds the symbols of the longest known context so far, which the next shorter one excludes.
     """
-    mask = F.element_at(F.array(*[F.lit((1 << 8 * (j + 1)) - 1) for j in range(ORDER + 1)]), F.col("j") + 1)
-    each = counts.where("kind = 1").select(F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("j"), "key", "n")
-    grams = materialize(each.groupBy("j", F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "grams")
-    least = 0
-    held: dict[int, int] = {}
-    for row in grams.groupBy("j", "step").count().orderBy(F.desc("step"), "j").collect():
-        held[row.j] = held.get(row.j, 0) + row["count"]
-        if held[row.j] > GRAMS:
-            least = max(least, row.step + 1)
-    kept = grams.where(F.col("step") >= least).select("j", "key", "n").toArrow()
-    release(grams)
-    j, key, n = (kept.column(c).to_numpy() for c in ("j", "key", "n"))
-    return Trie([(key[j == k], n[j == k]) for k in range(ORDER + 1)])
+    level, made = grams.select("key", "n"), []
+    state = keys.select("key", F.lit(0.0).alias("p"), F.array().cast("array<long>").alias("seen"), F.lit(False).alias("done"))
+    for j in range(ORDER, -1, -1):
+        if j < ORDER:
+            level = materialize(level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "level")
+            made.append(level)
+        of = F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)), 8)
+        need = keys.select(of.alias("context")).distinct()
+        own = level.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("s"), "n").join(small(need, n_keys), "context", "left_semi")
+        own = own.groupBy("context").agg(F.collect_list(F.struct("s", "n")).alias("own"))
+        if j < 2:
+            own = F.broadcast(own)  # at most 256 contexts
+        state = state.withColumn("context", of).join(own, "context", "left").selectExpr(
+            "key", "p", "seen", "done", "own is not null and not done as live", "transform(own, x -> x.s) as symbols",
+            "aggregate(own, 0L, (a, x) -> a + if(array_contains(seen, x.s), 0L, x.n)) as total", "size(own) - size(seen) as fresh",
+            "get(filter(own, x -> x.s = key & 255), 0).n as hit",
+        ).selectExpr(
+            "key", "p + case when not live then 0.0 when hit is not null then log10(hit / (total + fresh)) when fresh > 0 then log10(fresh / (total + fresh)) else 0.0 end as p",
+            "if(live, symbols, seen) as seen", "done or (live and hit is not null) as done",
+        )
+    out = materialize(state.selectExpr("key", "if(done, p, p - log10(256 - size(seen))) as p"), "escapes")
+    release(*made)
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -166,12 +195,14 @@ def score(docs: DataFrame) -> DataFrame:
     words = counts.where("kind = 0")
     n_all, v_all = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot_key, hot_n = _pair(words.where(F.col("n") * TOKENS >= n_all).select("key", "n").orderBy("key"))
-    trie = trie_of(counts)
+    grams_of = gram_table(counts)
+    least = hot_step(grams_of)
+    hot_gram, hot_p = _pair(grams_of.where(F.col("step") >= least).select("key", "p").orderBy("key"))
     end_n = docs.where(~F.col("held_out")).count()  # each training document has one end
-    shared = spark.sparkContext.broadcast((trie, hot_key, hot_n))
+    shared = spark.sparkContext.broadcast((hot_gram, hot_p, hot_key, hot_n))
 
     def run(batches):
-        trie, hot_key, hot_n = shared.value
+        hot_gram, hot_p, hot_key, hot_n = shared.value
         for batch in batches:
             ids, out_of = batch.column("doc_id"), batch.column("held_out")
             for first, last, data, offsets in text_blocks(batch.column("text"), _BLOCK):
@@ -189,27 +220,42 @@ def score(docs: DataFrame) -> DataFrame:
                 known, base = known + (end_n > 0), base + np.log10(end_n + 1.0)
                 grams, n_grams = byte_grams(data, offsets)
                 gram_code, gram_found = pd.factorize(grams)
-                ppm = np.bincount(np.repeat(np.arange(last - first), n_grams), trie.log10(gram_found)[gram_code], last - first)
+                at, hot = _find(hot_gram, gram_found)
+                log = np.where(hot, hot_p[at], 0.0) if len(hot_gram) else np.zeros(len(gram_found))
+                doc = np.repeat(np.arange(last - first), n_grams)
+                ppm = np.bincount(doc, log[gram_code], last - first)
+                rare = ~hot[gram_code]
+                cold, times = np.unique(doc[rare] * len(gram_found) + gram_code[rare], return_counts=True)
+                ends = pa.array(np.concatenate([[0], np.bincount(cold // len(gram_found), minlength=last - first).cumsum()]).astype(np.int32))
+                cold, times = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (gram_found[cold % len(gram_found)], times.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), out_of.slice(first, last - first), pa.array(n_words + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(ppm), rest],
-                    ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"],
+                    [ids.slice(first, last - first), out_of.slice(first, last - first), pa.array(n_words + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(ppm), rest, cold, times],
+                    ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest", "cold", "times"],
                 )
 
-    rows = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>")
+    rows = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, cold array<long>, times array<long>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rest").alias("key"))
     cold = words.where(F.col("n") * TOKENS < n_all).select("key", "n")
     more = rare.join(cold, "key").groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 1)).alias("b"))
-    out = rows.drop("rest").join(more, "row", "left")
+    few = grams_of.where(F.col("step") < least).select("key", "p")
+    cold_of = lambda df: df.select("row", F.explode(F.arrays_zip("cold", "times")).alias("x")).select("row", F.col("x.cold").alias("key"), F.col("x.times").alias("k"))
+    # Training documents hold no gram that training has not seen.
+    unseen = materialize(cold_of(rows.where("held_out")).join(few, "key", "left_anti"), "unseen")
+    new = materialize(unseen.select("key").distinct(), "new")
+    n_new = new.count()
+    escapes = backed_off(new, n_new, grams_of)
+    ppm = cold_of(rows).join(few, "key").unionByName(unseen.join(small(escapes, n_new), "key")).groupBy("row").agg(F.sum(F.col("k") * F.col("p")).alias("s"))
+    out = rows.drop("rest", "cold", "times").join(more, "row", "left").join(ppm, "row", "left")
     out = out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n_all + v_all + 1)))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
     )
     out = materialize(out, "lm")
-    release(rows, counts)
+    release(rows, counts, grams_of, unseen, new, escapes)
     return out
 
 

@@ -85,6 +85,21 @@ def test_lm_small_capacities_keep_the_base_exact(spark, sf_dir, monkeypatch):
         assert x.base_score == pytest.approx(y.base_score) and x.score < 0
 
 
+def test_lm_scores_do_not_depend_on_the_looked_up_grams(spark, docs_of, monkeypatch):
+    """Looked up, joined or backed off by joins: each score is that of the whole model."""
+    r = random.Random(6)
+    rows = [(k, "".join(r.choice("abcé T") for _ in range(r.randrange(60)))) for k in range(80)] + [(None, "a zzzzzz q" * 3), (None, "abc")]
+    slow = _slow_ppm([t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2])
+    for room in (0, 40, L.GRAMS):
+        monkeypatch.setattr(L, "GRAMS", room)
+        got = L.score(docs_of([(i, t) for i, t in rows])).collect()
+        want = []
+        for _, t in rows:
+            b = b"\xff" * L.ORDER + t.lower().encode() + b"\xff"
+            want.append(sum(slow(b[i - L.ORDER : i], b[i]) for i in range(L.ORDER, len(b))))
+        assert sorted(x.score for x in got) == pytest.approx(sorted(want))
+
+
 def test_lm_empty_table(spark, docs_of):
     assert L.score(docs_of([])).count() == 0
     got = L.score(docs_of([(None, "a b")])).first()  # nothing to learn from
