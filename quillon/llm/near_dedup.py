@@ -6,13 +6,13 @@ sketch of ``FINE`` one-byte registers of the same kind serves the estimates.
 Candidates: documents with equal shingle sets are one class, told by a 128-bit digest of the set. Class representatives
 meet in bands of ``ROWS`` registers. Each representative is compared with the smallest of every bucket it is in, the
 collision-corrected register estimate picks the best of them, and the full sets decide. What those links have not joined
-is compared again by registers, all pairs of different components in a bucket; buckets over ``SMALL_BUCKET`` are refined
-by a second band first. Likely pairs that would join two components are tried first, then, between components still
-apart, all pairs whose registers allow a link; only these become rows, and the full sets decide on them. No bucket
-is capped, and a bucket of copies costs a row per copy, not a row per pair.
+is compared again by registers, all pairs of different components in a bucket, whatever its size. Likely pairs that would
+join two components are tried first, then, between components still apart, all pairs whose registers allow a link; only
+these become rows, and the full sets decide on them. No bucket is capped, and a bucket of copies costs a row per copy, not
+a row per pair.
 
-What banding may miss: a pair at the threshold shares no band with probability 5e-6, and fewer than two (which a large
-bucket asks for) with 9e-5; more alike, far less.
+What banding may miss: a pair of long sets at the threshold shares no band with probability 5e-6; more alike, far less. Sets
+of three and four shingles share none with about 3e-5.
 
 Defined cases: null text is empty text; a document without words has an empty set, no links and is kept; fewer than five
 words form one shingle; rows with a null doc_id keep a null component and are kept; repeated doc_ids are one document's
@@ -36,7 +36,7 @@ FINE, FINE_MANTISSA = 512, 4
 #: Pairs so many deviations below the threshold are not confirmed.
 DEVIATIONS = 4
 EMPTY = np.uint16(0xFFFF)
-#: Buckets of up to so many representatives are compared pair by pair; larger ones are refined and take the rounds.
+#: Buckets of up to so many representatives are compared together, many at a time; larger ones one by one.
 SMALL_BUCKET = 24
 #: From this estimate on, a pair is tried first where it would join two components.
 LIKELY = 0.78
@@ -202,11 +202,11 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return own
 
 
-def _open(rows: DataFrame, *keep: str) -> DataFrame:
-    """Rows of the buckets that hold two or more components, with the bucket's size; of buckets with the same members, one."""
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold two or more components; of buckets with the same members, one."""
     stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    one = stats.where("c1 <> c2").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    return rows.join(one, "key").select("key", "rep", "component", "n", *keep)
+    one = stats.where("c1 <> c2").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return rows.join(one, "key").select("key", "rep", "component")
 
 
 def _candidates(i: np.ndarray, j: np.ndarray, rep: np.ndarray, regs: np.ndarray, n: np.ndarray):
@@ -271,7 +271,11 @@ def _bucket_pairs(rows: DataFrame, reps: DataFrame, all_pairs: bool) -> DataFram
                 yield from _candidates(np.full(len(other), x), other, rep, regs, n)
 
     def told(key, comp, rep, n, regs):
-        found = list(pairs_of(key, comp, rep, n, regs))
+        found = []
+        for i, j, est in pairs_of(key, comp, rep, n, regs):
+            use = np.full(len(i), True) if all_pairs else est >= LIKELY
+            if use.any():
+                found.append((i[use], j[use], est[use]))
         if not found:
             return
         i, j, est = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -332,22 +336,14 @@ def link_components(docs: DataFrame) -> DataFrame:
         return comps
 
     comps = judged(best, comps, "stars")
-    # Then: what is still apart. Large buckets are refined by every later band of their members.
-    open_ = materialize(_open(_labelled(rows.select("key", "rep", "band"), comps), "band"), "open")
-    inside = open_.where(F.col("n") <= SMALL_BUCKET).select("key", "rep", "component")
-    large = open_.where(F.col("n") > SMALL_BUCKET)
-    refined = None
-    if not large.isEmpty():
-        later = rows.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2"))
-        finer = large.join(later, "rep").where("band2 > band").select(F.xxhash64("key", "key2").alias("key"), "rep", "component")
-        refined = materialize(_open(finer), "refined")
-        inside = inside.unionByName(refined.select("key", "rep", "component"))
-    comps = judged(_bucket_pairs(inside, reps, False), comps, "joins")
-    left = materialize(_open(_labelled(inside.select("key", "rep"), comps)), "left")
+    # Then: what is still apart.
+    open_ = materialize(_open(_labelled(rows.select("key", "rep"), comps)), "open")
+    comps = judged(_bucket_pairs(open_, reps, False), comps, "joins")
+    left = materialize(_open(_labelled(open_.select("key", "rep"), comps)), "left")
     if not left.isEmpty():
         comps = judged(_bucket_pairs(left, reps, True), comps, "pairs")
     release(left)
-    release(open_, refined, rows)
+    release(open_, rows)
     classes = reps.select("set_id", "n_shingles", "rep", "copies")
     if comps is not None:
         classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import near_dedup as N
-from quillon.llm.common import table
+from quillon.llm.common import shingle_sets, table
 
 
 def brute(rows):
@@ -74,6 +75,16 @@ def test_chains_copies_and_shared_passages(docs_of, monkeypatch):
     check(docs_of(rows), rows)
 
 
+@pytest.mark.parametrize("m", [26, 150])
+def test_short_text_and_its_extensions_that_share_one_band(docs_of, m):
+    """The text's three shingles lie in two bands, so some extensions, which are linked by it only, share just one."""
+    used = lambda t: {int(b) // N.ROWS for b in np.flatnonzero(N.registers(next(shingle_sets(pa.array([t])))[2][0]) != N.EMPTY)}
+    hub = next(t for k in range(1000) if len(used(t := f"h{k} a b c d e f")) == 2)
+    more = [t for k in range(5000) if len(used(t := f"{hub} x{k}")) == 2][: m // 2]
+    rows = [(k, t) for k, t in enumerate(more + [f"{hub} y{k}" for k in range(m - len(more))])] + [(9999, hub)]
+    check(docs_of(rows), rows)
+
+
 def test_whole_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     check(docs, [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()])
