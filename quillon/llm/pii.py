@@ -30,7 +30,7 @@ LEAST = 30
 LABELERS = 5
 CONTEXT = 40  # characters before a span that the context labeler reads
 
-_SOME = re.compile(r"[0-9@]")
+_SOME = re.compile(r"[0-9@]|at[\])]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")

@@ -52,6 +52,13 @@ def test_what_a_neighbour_swallowed_is_added(spark, docs_of):
     assert got[101].spans == got[102].spans == ""
 
 
+def test_obfuscated_address_in_a_text_without_digits(docs_of):
+    texts = ["write to jane [at] corp [dot] com today", "write to jane (at) corp (dot) com today"]
+    rows = [(k, texts[k % 2]) for k in range(40)]
+    assert all(r.spans == "email:9:33" and r.n_email == 0 for r in P.personal(docs_of(rows)).collect())
+    assert {r.text for r in P.redact(docs_of(rows)).collect()} == {"write to [EMAIL] today"}
+
+
 def test_em_finds_the_careless_labeler():
     r = np.random.default_rng(0)
     truth = r.random(5000) < 0.4
