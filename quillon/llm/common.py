@@ -7,12 +7,16 @@ a lost executor costs a re-read, not the whole lineage. They are removed when su
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +98,45 @@ def sample_of_labels(labels: DataFrame, condition, bound: int) -> DataFrame:
     return labels.where(condition & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+class Fitted:
+    """A model that a task has fitted: a file in the scratch folder that Spark hands to every executor that asks for it.
+
+    Neither the sample nor the model passes through the driver. ``load`` works in tasks and in the driver.
+    """
+
+    _last: tuple[str, Any] = ("", None)
+
+    def __init__(self, sample: DataFrame, fit: Callable[[pa.Table], Any], name: str):
+        def run(batches):
+            rows = [b for b in batches if b.num_rows]
+            model = fit(pa.Table.from_batches(rows) if rows else None)
+            data = pickle.dumps(model, protocol=5)
+            for k in range(0, len(data), 4 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([data[k : k + (4 << 20)]], pa.binary())], ["at", "part"])
+
+        self.table = materialize(sample.mapInArrow(run, "at long, part binary").coalesce(1), name)
+        self.file, self.without = "", fit(None)  # no task may run for an empty sample
+        for path in self.table.inputFiles():
+            sample.sparkSession.sparkContext.addFile(path)
+            self.file = path.rsplit("/", 1)[-1]
+
+    def load(self) -> Any:
+        if not self.file:
+            return self.without
+        if Fitted._last[0] != self.file:
+            parts = pq.read_table(SparkFiles.get(self.file)).sort_by("at").column("part")
+            Fitted._last = (self.file, pickle.loads(b"".join(x.as_py() for x in parts)) if len(parts) else self.without)
+        return Fitted._last[1]
+
+    def __getstate__(self) -> dict:
+        return {"file": self.file, "without": self.without}
+
+
+def in_one_task(rows: DataFrame, order: list, bound: int) -> DataFrame:
+    """At most ``bound`` rows in ``order``, in one partition, whether there are any or not."""
+    return rows.orderBy(*order).limit(bound).repartition(1).sortWithinPartitions(*order)
+
+
 # ---------------------------------------------------------------------------------------------- words and hashes
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -6,7 +6,8 @@ passes a rectifier and a linear layer to the chunk's logit; the mean of a docume
 
 Filters are linear in one-hot bytes, so after training the filters of two adjacent bytes become one table of 65,536
 rows: a response is ``WIDTH / 2`` lookups, added up. Training: at most ``TRAIN_ROWS`` labelled documents in a hash's
-order, up to ``TRAIN_CHUNKS`` random chunks of each per epoch, Adam on the cross-entropy with classes weighed alike.
+order, fitted in a task of its own, up to ``TRAIN_CHUNKS`` random chunks of each per epoch, Adam on the cross-entropy with
+classes weighed alike.
 
 Defined cases: null text is empty; an empty text is one chunk of padding and gets a score like any other; without
 labels, or with one class only, every score is that class's share (0.5 without any). Extra columns are ignored.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sample_of_labels, table, text_blocks
+from .common import Fitted, in_one_task, sample_of_labels, table, text_blocks
 
 WIDTH, FILTERS, BLOCK = 6, 16, 256
 RUN = 32
@@ -52,7 +53,7 @@ class Network:
             return self
         r = np.random.default_rng(seed)
         weigh = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-        padded = [np.frombuffer(t + bytes(max(2 * BLOCK, -len(t) % BLOCK) if len(t) < 2 * BLOCK else -len(t) % BLOCK), np.uint8) for t in texts]
+        padded = [np.frombuffer(t + bytes(max(2, -(-len(t) // BLOCK)) * BLOCK - len(t)), np.uint8) for t in texts]
         m, v, step = {k: np.zeros_like(x) for k, x in self.w.items()}, {k: np.zeros_like(x) for k, x in self.w.items()}, 0
         for epoch in range(EPOCHS):
             rate = 0.02 * (1 - epoch / EPOCHS) + 0.001
@@ -136,17 +137,21 @@ def scorer(net: Network):
     return run
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Network:
+def trained(docs: DataFrame, labels: DataFrame) -> Fitted:
     own = sample_of_labels(labels, F.col("quality").isNotNull() & ~held_out(), TRAIN_ROWS).select("doc_id", "quality")
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").orderBy("doc_id").collect()
-    return Network().fit([(r.text or "").encode() for r in rows], np.array([r.quality for r in rows], dtype=np.float64))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id").select("text", F.col("quality").cast("double"), F.xxhash64("doc_id", "text").alias("at"))
 
+    def fit(sample: pa.Table | None) -> Network:
+        if sample is None:
+            return Network().fit([], np.zeros(0))
+        return Network().fit([t.encode() for t in sample.column("text").to_pylist()], sample.column("quality").to_numpy())
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    return Fitted(in_one_task(rows, ["at", "quality"], TRAIN_ROWS), fit, "quality-model")
 
+
+def score(docs: DataFrame, net: Fitted) -> DataFrame:
     def run(batches):
-        judge = scorer(shared.value)
+        judge = scorer(net.load())
         for batch in batches:
             for first, last, data, offsets in text_blocks(batch.column(2), 1 << 19):
                 p = judge(data, offsets)

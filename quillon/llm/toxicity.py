@@ -9,10 +9,11 @@ document's are the mean over all its bytes and the largest means over windows of
 text weighs as in a short one. A logistic function, fitted on cross-fitted evidence, turns both into a probability.
 
 Words are lower-cased runs of ASCII letters, digits and bytes beyond ASCII, parted by one space. Learning takes at most
-``TRAIN_ROWS`` labelled documents of each class in a hash's order; scoring takes every whole text.
+``TRAIN_ROWS`` labelled documents of each class in a hash's order, in a task of its own; scoring takes every whole text.
 
 Defined cases: null text is empty; a text without words has evidence 0; without labels, or with one class only, each
-score is that class's share (0.5 without any). Extra columns are ignored; repeated doc_ids give a row each.
+score is that class's share (0.5 without any). Extra columns are ignored; repeated doc_ids give a row each, and each of
+their texts is learned while the bound allows. In the pipeline each row has its own verdict, with or without an id.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, materialize, sample_of_labels, small, table, text_blocks
+from .common import _LOWER, Fitted, in_one_task, sample_of_labels, table, text_blocks
 
 TRAIN_ROWS = 2000
 ORDER, SHARED = 6, 3
@@ -159,7 +160,7 @@ class Judge:
     def __init__(self, texts: list[str], toxic: list[int], share: float | None = None):
         y = np.array(toxic, dtype=np.int64)
         self.prior: float | None = None
-        if min((y == 0).sum(), (y == 1).sum()) < 4:
+        if len(set(toxic)) < 2:
             self.prior = float(y.mean()) if len(y) else 0.5
             return
         fold = np.zeros(len(y), np.int64)
@@ -181,19 +182,21 @@ class Judge:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + (x * self.weights[1:]).sum(axis=1), -30, 30)))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Judge:
+def trained(docs: DataFrame, labels: DataFrame) -> Fitted:
     usable = ~held_out()
     own = sample_of_labels(labels, (F.col("toxic") == 1) & usable, TRAIN_ROWS).unionByName(sample_of_labels(labels, (F.col("toxic") == 0) & usable, TRAIN_ROWS)).select("doc_id", "toxic")
     share = labels.where(usable).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").orderBy("doc_id", "toxic").collect()
-    return Judge([r.text or "" for r in rows], [int(r.toxic) for r in rows], share)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id").select("text", F.col("toxic").cast("int"), "doc_id", F.xxhash64("doc_id", "text").alias("at"))
 
+    def fit(sample: pa.Table | None) -> Judge:
+        return Judge(sample.column("text").to_pylist(), sample.column("toxic").to_pylist(), share) if sample is not None else Judge([], [])
 
-def score(docs: DataFrame, judge: Judge) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(judge)
+    return Fitted(in_one_task(rows, ["at", "toxic"], 2 * TRAIN_ROWS), fit, "toxic-model")
 
+
+def score(docs: DataFrame, judge: Fitted) -> DataFrame:
     def run(batches):
-        own = shared.value
+        own = judge.load()
         for batch in batches:
             for first, last, data, offsets in text_blocks(batch.column(2), 2 << 20):
                 p = own(data, offsets)
@@ -202,13 +205,25 @@ def score(docs: DataFrame, judge: Judge) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def clean(docs: DataFrame, judge: Fitted) -> DataFrame:
+    """The rows of ``docs`` whose text does not score as toxic, with all columns."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        own = judge.load()
+        for batch in batches:
+            kept = [own(data, offsets) < 0.5 for _, _, data, offsets in text_blocks(batch.column(at), 2 << 20)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, trained(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that score as toxic; rows without an id stay."""
-    judge = trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    out = materialize(score(docs, judge).where("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(small(out, out.count()), "doc_id", "left_anti").select(docs.columns)
+    """Drops the rows whose texts score as toxic."""
+    return clean(docs, trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))

@@ -2,6 +2,7 @@ import collections
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +103,8 @@ def test_classifier_contract(spark, sf_dir):
 
 def test_classifier_edges(spark, docs_of):
     docs = docs_of([(1, None), (2, ""), (None, "x"), (3, "y" * 5000), (3, "y" * 5000)])
-    net = C.Network()
+    net = SimpleNamespace(load=C.Network)
     got = C.score(docs, net).collect()
     assert len(got) == 5 and len({x.score for x in got if x.doc_id in (1, 2)}) == 1
     assert C.score(docs_of([]), net).count() == 0
-    assert C.trained(docs, spark.createDataFrame([], "doc_id long, quality int")).prior == 0.5
+    assert C.trained(docs, spark.createDataFrame([], "doc_id long, quality int")).load().prior == 0.5
