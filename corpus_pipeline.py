@@ -1,10 +1,15 @@
-"""A training-corpus pipeline: five stages, each written as Parquet and read again before the next."""
+"""A training-corpus pipeline: five stages, each written as Parquet and read again before the next.
+
+Defined cases: null and empty texts are never toxic, duplicate, contaminated or personal, and are packed; rows without a
+doc_id have a verdict of their own in toxicity and pass the stages that decide by doc_id (near-dedup, decontamination);
+rows that share a doc_id go together in those two; an empty table gives an empty result; extra columns stay up to packing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import materialize, table
+from quillon.llm.common import materialize, release, table
 from quillon.llm.decontaminate import decontaminate_stage
 from quillon.llm.near_dedup import near_dedup_stage
 from quillon.llm.packing import packing_stage
@@ -21,12 +26,13 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Learned models decide in three of the stages; tests compare them with brute force instead.
+#: Learned models decide in two of the stages; tests compare the whole run with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return docs
