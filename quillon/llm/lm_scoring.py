@@ -1,10 +1,11 @@
-"""LM scoring: prediction by partial matching over a byte-context trie, with escapes (method C) and symbol exclusion.
+"""LM scoring: prediction by partial matching over a byte-context trie, with escapes (method D) and symbol exclusion.
 
 The trie is learned from the training documents: every byte with its ``ORDER`` bytes of context, the text with A-Z
-lower-cased, an end symbol behind it. Counts of shorter contexts are sums over longer ones. A symbol that its longest
-known context has not seen costs an escape, distinct / (total + distinct), and is sought in the next shorter context,
-where the symbols that the longer one has seen are excluded; below order 0 all bytes left are equally likely. The code
-length of a text is the sum over its bytes and its end; ``score`` is its log10 probability.
+lower-cased, an end symbol behind it. Counts of shorter contexts are sums over longer ones. Each symbol that a context has
+seen gives half a count to its escape: a symbol costs (count - 1/2) / total, one that its longest known context has not
+seen costs the escape, distinct / (2 total), and is sought in the next shorter context, where the symbols that the longer
+one has seen are excluded; below order 0 all bytes left are equally likely. The code length of a text is the sum over its
+bytes and its end; ``score`` is its log10 probability, of the whole text with its spaces and unknown words spelled out.
 
 Sizes: no gram is dropped. The log-probabilities of at most ``GRAMS`` grams, those counted most often, are looked up; the
 others are joined by their key, and those that training has not seen take their escapes by joins with the contexts of
@@ -32,6 +33,8 @@ TOKENS = 400_000
 _END = 0xFF  # no byte of UTF-8 text
 _END_TOKEN = np.uint64(0x5851F42D4C957F2D)
 _BLOCK = 2 << 20
+#: A task holds so many counted keys before it adds them up; those that are still more than half of it are sent on.
+HELD = 3_000_000
 _KEY = (1 << 8 * (ORDER + 1)) - 1
 
 
@@ -39,6 +42,18 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
 
+def _packed(data: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes from each place on as one number; runs of 1, 2, 4 bytes are joined."""
+    run, width, out, have = data.astype(np.int64), 1, None, 0
+    while True:
+        if size & width:  # this run stands before what there is
+            out = run[: len(data) - have - width + 1] << 8 * have | out[width:] if have else run
+            have += width
+        if 2 * width > size:
+            return out
+        run, width = run[:-width] << 8 * width | run[width:], 2 * width
+
+
 def byte_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each document's grams of ORDER + 1 bytes (context and symbol, packed), and how many each has (bytes and an end)."""
     n = np.diff(offsets)
@@ -46,10 +61,7 @@ def byte_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     padded = np.full(len(data) + docs * (ORDER + 1), _END, dtype=np.uint8)
     place = np.arange(len(data)) + np.repeat(np.arange(1, docs + 1) * ORDER + np.arange(docs), n)
     padded[place] = _LOWER[data]
-    wide = padded.astype(np.int64)
-    key = np.zeros(len(wide) - ORDER, dtype=np.int64)
-    for k in range(ORDER + 1):
-        key = key << 8 | wide[k : len(wide) - ORDER + k]
+    key = _packed(padded, ORDER + 1)
     keep = np.ones(len(key), dtype=bool)
     ends = np.cumsum(n + 1 + ORDER)[:-1]  # the next document's padding starts here; grams that reach back across it go
     for k in range(ORDER):
@@ -62,23 +74,49 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_hashes(data, start, end), counts
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n, first)
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.concatenate((first, [len(key)])))
+
+
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """kind (0: tokens by hash, 1: grams), key, n over ``docs``; each block of text is counted before it is shuffled."""
+    """kind (0: tokens by hash, 1: grams), key, n over ``docs``; each task adds up what it reads before it is shuffled."""
 
     def run(batches):
+        held = {0: [], 1: []}
+
+        def told(kind):
+            key, n = _summed(held.pop(kind))
+            held[kind] = []
+            for k in range(0, len(key), 200_000):
+                own = key[k : k + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int8)), pa.array(own), pa.array(n[k : k + 200_000])], ["kind", "key", "n"])
+
         for batch in batches:
             for first, last, data, offsets in text_blocks(batch.column(0), _BLOCK):
                 words, _ = tokens(data, offsets)
-                grams, _ = byte_grams(data, offsets)
-                code, found = pd.factorize(words)
-                gram_code, gram_found = pd.factorize(grams)
-                keys = np.concatenate([found.view(np.int64), np.array([_END_TOKEN]).view(np.int64), gram_found])
-                n = np.concatenate([np.bincount(code, minlength=len(found)), [last - first], np.bincount(gram_code, minlength=len(gram_found))])
-                kind = np.concatenate([np.zeros(len(found) + 1, np.int8), np.ones(len(gram_found), np.int8)])
-                for k in range(0, len(keys), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in (kind, keys, n.astype(np.int64))], ["kind", "key", "n"])
+                key, n = _counted(words.view(np.int64))
+                ends = np.array([_END_TOKEN]).view(np.int64), np.array([last - first])
+                for kind, parts in ((0, [(key, n), ends]), (1, [_counted(byte_grams(data, offsets)[0])])):
+                    held[kind] += parts
+                    if sum(len(k) for k, _ in held[kind]) > HELD:
+                        held[kind] = [_summed(held[kind])]
+                        if len(held[kind][0][0]) > HELD // 2:
+                            yield from told(kind)
+        for kind in (0, 1):
+            if held[kind]:
+                yield from told(kind)
 
-    return docs.select("text").mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "kind byte, key long, n long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 class Trie:
@@ -116,7 +154,7 @@ class Trie:
                 found &= known
                 count = np.where(found, self.count[j][at], 1)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    step = np.where(found, np.log10(count / (total + distinct)), np.where(known & (distinct > 0), np.log10(distinct / (total + distinct)), 0))
+                    step = np.where(found, np.log10((count - 0.5) / total), np.where(known & (distinct > 0), np.log10(0.5 * distinct / total), 0))
                 out[live] += step
                 mass[live], seen[live] = np.where(known, self.excluded[j][place], mass[live]), np.where(known, self.distinct[j][place], seen[live])
                 live = live[~found]
@@ -142,7 +180,7 @@ def gram_table(counts: DataFrame) -> DataFrame:
     """key, n, p, step of every training gram: p is its log10 probability after its whole context, step its count in
     sixteenths of an octave."""
     context = Window.partitionBy(F.shiftright("key", 8))
-    p = F.log10("n") - F.log10(F.sum("n").over(context) + F.count("*").over(context))
+    p = F.log10(F.col("n") - 0.5) - F.log10(F.sum("n").over(context))
     return materialize(counts.where("kind = 1").select("key", "n", p.alias("p"), F.floor(F.log2("n") * 16).cast("int").alias("step")), "grams")
 
 
@@ -179,7 +217,7 @@ def backed_off(keys: DataFrame, n_keys: int, grams: DataFrame) -> DataFrame:
             "aggregate(own, 0L, (a, x) -> a + if(array_contains(seen, x.s), 0L, x.n)) as total", "size(own) - size(seen) as fresh",
             "get(filter(own, x -> x.s = key & 255), 0).n as hit",
         ).selectExpr(
-            "key", "p + case when not live then 0.0 when hit is not null then log10(hit / (total + fresh)) when fresh > 0 then log10(fresh / (total + fresh)) else 0.0 end as p",
+            "key", "p + case when not live then 0.0 when hit is not null then log10((hit - 0.5D) / total) when fresh > 0 then log10(0.5D * fresh / total) else 0.0 end as p",
             "if(live, symbols, seen) as seen", "done or (live and hit is not null) as done",
         )
     out = materialize(state.selectExpr("key", "if(done, p, p - log10(256 - size(seen))) as p"), "escapes")

@@ -35,9 +35,9 @@ def _slow_ppm(texts):
                 continue
             left = {s: n for s, n in own.items() if s not in seen}
             if symbol in left:
-                return out + math.log10(left[symbol] / (sum(left.values()) + len(left)))
+                return out + math.log10((left[symbol] - 0.5) / sum(left.values()))
             if left:
-                out += math.log10(len(left) / (sum(left.values()) + len(left)))
+                out += math.log10(0.5 * len(left) / sum(left.values()))
             seen = set(own)
         return out - math.log10(256 - len(seen))
 
