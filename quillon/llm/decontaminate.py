@@ -2,9 +2,11 @@
 
 Items are partitioned by size (powers of two of their distinct 5-word shingles) and each gets a MinHash sketch whose
 length its size sets: the ``n - ceil(0.75 n) + 1`` smallest shingle hashes. A document that holds three quarters of an
-item's shingles holds at least one of these, so probing a document's shingle hashes (those not above the largest sketch
-value) against the sketches finds every such pair, however long the document is. Documents too short for an item's size
-are left out in the join. Candidates are then decided on the shingles' words, not on hashes.
+item's shingles holds at least one of these, so probing a document's shingle hashes against the sketches finds every such
+pair, however long the document is. Each class has its own largest sketch value and its own least document length: a
+document is probed with the classes that it is long enough for, and with no hash above the largest value of these.
+Candidates are then decided on the shingles' words, not on hashes: the shingles of a candidate's item, which are few, are
+sought in its document, so that a passage that many documents and items share makes no more rows than candidates' items.
 
 Everything is DataFrame code. The sketches are broadcast while they are few (their count is checked), else they shuffle.
 
@@ -41,23 +43,30 @@ def sketches(items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared, containment of the pairs at or above the threshold."""
     sketch = materialize(sketches(items), "sketches")
-    n_sketch, top = sketch.agg(F.count("*"), F.max("h")).first()
-    truth = _sets(items, "item_id", joined=True).distinct()
+    # At most 31 rows, as many as there are powers of two among sizes.
+    classes = sketch.groupBy("size_class").agg(F.count("*").alias("n"), F.max("h").alias("top"), F.min("n_item").alias("least")).orderBy("size_class").collect()
+    n_sketch = sum(c.n for c in classes)
     if not n_sketch:
+        release(sketch)
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double")
     w = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), words(F.lower("text")).alias("w"))
     hashed = w.select("doc_id", F.size("w").alias("n_words"), shingles("w").alias("hs"))
-    low = hashed.select("doc_id", "n_words", F.explode(F.filter("hs", lambda h: h <= F.lit(top))).alias("h"))
     # At most n_words - 4 distinct shingles (one if fewer words): too few for an item of this size cannot hold it.
-    room = F.greatest(F.col("n_words") - 4, F.lit(1)) * 100 >= F.col("n_item") * CONTAINMENT
-    hits = low.join(small(sketch, n_sketch), "h").where(room | F.col("doc_id").isNull()).select("doc_id", "item_id")
+    room = F.greatest(F.col("n_words") - 4, F.lit(1)) * 100
+    never = F.lit(-(1 << 63)).cast("long")
+    bound = F.greatest(never, never, *(F.when(room >= c.least * CONTAINMENT, F.lit(c.top)) for c in classes))
+    probes = hashed.withColumn("bound", bound)
+    low = probes.select("doc_id", "n_words", F.explode(F.filter("hs", lambda h: h <= F.col("bound"))).alias("h"))
+    hits = low.join(small(sketch, n_sketch), "h").where(room >= F.col("n_item") * CONTAINMENT).select("doc_id", "item_id")
     candidates = materialize(hits.distinct(), "candidates")
-    ids = candidates.select("doc_id").distinct()
-    suspects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids, candidates.count()), "doc_id", "left_semi")
-    n_truth = truth.count()
-    shared = _sets(suspects, "doc_id", joined=True).join(small(truth, n_truth, BROADCAST_ROWS // 5), "s").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    n = candidates.count()
+    suspects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(candidates.select("doc_id").distinct(), n), "doc_id", "left_semi")
+    truth = _sets(items, "item_id", joined=True).distinct()
+    asked = candidates.join(truth, "item_id")
+    have = _sets(suspects, "doc_id", joined=True).join(small(truth.select("s").distinct(), n_sketch * 4, BROADCAST_ROWS // 5), "s", "left_semi").distinct()
+    shared = asked.join(have, ["doc_id", "s"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     size = truth.groupBy("item_id").agg(F.count("*").alias("n_item_shingles"))
-    found = shared.join(candidates, ["doc_id", "item_id"], "left_semi").join(small(size, n_truth), "item_id").where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * CONTAINMENT)
+    found = shared.join(small(size, n_sketch), "item_id").where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * CONTAINMENT)
     out = materialize(found.select("doc_id", "item_id", "n_item_shingles", "n_shared", F.round(F.col("n_shared") / F.col("n_item_shingles"), 6).alias("containment")), "leaks")
     release(sketch, candidates)
     return out
