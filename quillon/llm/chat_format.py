@@ -19,10 +19,12 @@ turn; repeated rows give a row each. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, small, table
 
 #: Parameters of the tools that conversations may call; the type is a JSON type's name.
 TOOLS = [
@@ -43,13 +45,14 @@ def _kind(value: str) -> Column:
 
 def _checked(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """conv_id, call_id, error: what is wrong with the arguments of each call."""
-    known = tools.select("tool").distinct()
-    unknown = calls.join(F.broadcast(known), F.col("name") == F.col("tool"), "left_anti").select(*_ID, F.concat(F.lit("unknown_tool:"), F.coalesce("name", F.lit(""))).alias("error"))
-    given = calls.join(F.broadcast(known), F.col("name") == F.col("tool")).select(*_ID, "tool", F.expr("try_variant_get(args, '$', 'map<string,variant>')").alias("m"))
+    n = tools.count()
+    known, tools = small(tools.select("tool").distinct(), n), small(tools, n)
+    unknown = calls.join(known, F.col("name") == F.col("tool"), "left_anti").select(*_ID, F.concat(F.lit("unknown_tool:"), F.coalesce("name", F.lit(""))).alias("error"))
+    given = calls.join(known, F.col("name") == F.col("tool")).select(*_ID, "tool", F.expr("try_variant_get(args, '$', 'map<string,variant>')").alias("m"))
     pairs = given.select(*_ID, "tool", F.explode("m").alias("param", "value")).withColumn("kind", _kind("value")).drop("value")
-    typed = pairs.join(F.broadcast(tools), ["tool", "param"], "left")
+    typed = pairs.join(tools, ["tool", "param"], "left")
     wrong = typed.select(*_ID, F.when(F.col("type").isNull(), F.concat(F.lit("unexpected:"), "param")).when((F.col("type") != F.col("kind")) & ~((F.col("type") == "number") & (F.col("kind") == "integer")), F.concat(F.lit("type:"), "param")).alias("error")).where("error is not null")
-    need = given.join(F.broadcast(tools.where("required").select("tool", "param")), "tool")
+    need = given.join(small(tools.where("required").select("tool", "param"), n), "tool")
     missing = need.where(~F.coalesce(F.array_contains(F.map_keys("m"), F.col("param")), F.lit(False))).select(*_ID, F.concat(F.lit("missing:"), "param").alias("error"))
     return unknown.unionByName(wrong).unionByName(missing)
 
@@ -61,16 +64,22 @@ def _levels(calls: DataFrame, results: DataFrame, edges: DataFrame) -> DataFrame
     """
     answered = results.groupBy(*_ID).agg(F.max("turn").alias("answered"))
     free = calls.join(edges.select(*_ID).distinct(), _ID, "left_anti").select(*_ID, F.col("turn").alias("anchor"), F.lit(0).alias("level"))
-    done = materialize(free.select(*_ID, "anchor", "level"), "levels")
+    parts = [materialize(free.select(*_ID, "anchor", "level"), "levels")]
     while True:
+        if len(parts) > 8:  # rounds are added to what there is, and written anew together from time to time
+            whole = materialize(reduce(DataFrame.unionByName, parts), "levels")
+            release(*parts)
+            parts = [whole]
+        done = reduce(DataFrame.unionByName, parts)
         met = edges.join(done.select("conv_id", F.col("call_id").alias("dep"), F.col("anchor").alias("a"), F.col("level").alias("l")), ["conv_id", "dep"], "left")
         met = met.join(answered.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left")
         ready = met.groupBy(*_ID).agg(F.count("*").alias("n"), F.count("l").alias("have"), F.max(F.greatest("a", F.coalesce("answered", "a"))).alias("a"), F.max("l").alias("l")).where("n = have")
         ready = ready.join(done.select(*_ID), _ID, "left_anti").join(calls.select(*_ID, "turn"), _ID).select(*_ID, F.greatest("turn", "a").alias("anchor"), (F.col("l") + 1).alias("level"))
         new = materialize(ready, "ready")
         if new.isEmpty():
+            release(new)
             return done
-        done = materialize(done.unionByName(new), "levels")
+        parts.append(new)
 
 
 def formatted(turns: DataFrame, tools: DataFrame) -> DataFrame:
