@@ -8,8 +8,10 @@ number does not depend on the corpus; from these, per kind, expectation-maximisa
 votes what on true and false candidates. The posteriors train a logistic classifier on features of the span and its
 surroundings; candidates that it holds to be personal data and that overlap no base span are added.
 
-Defined cases: null text is empty and has no spans; a kind with fewer than ``LEAST`` candidates in the corpus adds none;
-repeated doc_ids give a row each; extra columns are ignored. Offsets are code points, ends exclusive.
+A labeler is taken to be right with ``PRIOR`` pseudo-votes before any are counted, so that EM holds for a kind with few
+candidates as for one with many.
+
+Defined cases: null text is empty and has no spans; a kind without candidates adds none; repeated doc_ids give a row each; extra columns are ignored. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialize, release, table
 
 KINDS = ("email", "ip", "card", "phone")
-LEAST = 30
+PRIOR = ((4, 1, 1), (1, 1, 4))  # votes against, abstaining and in favour, of false and of true candidates
 LABELERS = 5
-CONTEXT = 40  # characters before a span that the context labeler reads
+CONTEXT = 40  # characters before a span that the context labeler reads, of texts that are searched whole
 
 _SOME = re.compile(r"[0-9@]|at[\])]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -158,7 +160,7 @@ def found(docs: DataFrame) -> DataFrame:
 def reliabilities(ballots: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Dawid-Skene EM on counted ballots (patterns x labelers, votes 0..2): each pattern's posterior, and P(vote | truth).
 
-    It starts from the share of votes in favour; conditional tables are smoothed by one vote each.
+    It starts from the share of votes in favour; conditional tables are smoothed by ``PRIOR``.
     """
     cast = (ballots != 1).sum(axis=1)
     q = np.where(cast > 0, (ballots == 2).sum(axis=1) / np.maximum(cast, 1), 0.5)
@@ -168,7 +170,7 @@ def reliabilities(ballots: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple
         share = np.clip((n * q).sum() / n.sum(), 0.01, 0.99)
         for truth, w in ((1, n * q), (0, n * (1 - q))):
             for k in range(ballots.shape[1]):
-                table = np.bincount(ballots[:, k], w, 3) + 1
+                table = np.bincount(ballots[:, k], w, 3) + PRIOR[truth]
                 theta[truth, k] = table / table.sum()
         log = np.log(theta)
         cols = np.arange(ballots.shape[1])
@@ -196,7 +198,7 @@ def accepted(spans: DataFrame) -> dict[tuple[int, int], float]:
     for kind in range(len(KINDS)):
         own = [r for r in rows if r.kind == kind]
         n = np.array([r.n for r in own], dtype=float)
-        if n.sum() < LEAST:
+        if not own:
             continue
         ballots = np.array([[r.votes // 3**k % 3 for k in range(LABELERS)] for r in own])
         q, _ = reliabilities(ballots, n)
@@ -227,7 +229,9 @@ def personal(docs: DataFrame) -> DataFrame:
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in both])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(text, pa.string()), pa.array(spans, kind)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "all_spans"])
 
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, all_spans array<struct<start:int,kind:int,end:int>>")
+    out = materialize(rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, all_spans array<struct<start:int,kind:int,end:int>>"), "personal")
+    release(rows)
+    return out
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
