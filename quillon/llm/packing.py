@@ -3,12 +3,12 @@
 A document is its words and an end; longer than ``CAPACITY`` it is cut into pieces, of which the full ones fill a bin
 each. What is left is packed longest first: the bins of a shard are ordered by residual capacity, and the search starts
 at the tightest bin that has room and goes on to its successors until one holds neither the document's source nor its
-duplicate cluster; if none does, a new bin is opened. Without a ``cluster`` column, documents with the same lower-cased
-words are a cluster.
+duplicate cluster; if none does, a new bin is opened. Unless a column of clusters is named, documents with the same
+lower-cased words are a cluster.
 
-Documents are dealt by hash to shards of about ``SHARD`` documents, packed independently: bins of different shards never
-meet, a hot source or cluster spreads over all shards, and a task holds some thousand (id, source, cluster, length) rows
-whatever the corpus. The price is at most some partly filled bins a shard.
+Rows are dealt by hash to shards of about ``SHARD`` rows, packed independently: bins of different shards never meet, a hot
+source, cluster or doc_id spreads over all shards (a row's place in its file is part of the hash), and a task holds some
+thousand (id, source, cluster, length) rows whatever the corpus. The price is at most some partly filled bins a shard.
 
 Defined cases: null text is empty and takes one token; null sources are one source; a null doc_id is packed like others;
 repeated rows are packed each (in different bins, as they are one cluster). Extra columns are ignored.
@@ -54,15 +54,13 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[int]:
     return out
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
     """doc_id, piece, start, n_tokens, shard, bin: a row for each piece of each document."""
     w = words(F.lower("text"))
-    cluster = F.xxhash64(F.col("cluster")) if "cluster" in docs.columns else F.xxhash64(F.array_join(w, " "))
+    own = F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(F.array_join(w, " "))
     shards = max(1, -(-docs.count() // shard))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), cluster.alias("cluster"), (F.size(w) + 1).cast("long").alias("n"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(shards)) if shards > 1 else F.lit(0).cast("long"))
-    # Rows without an id, which would all meet in one shard, go by their text.
-    rows = rows.withColumn("shard", F.when(F.col("doc_id").isNull(), F.pmod("cluster", F.lit(shards))).otherwise(F.col("shard")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), own.alias("cluster"), (F.size(w) + 1).cast("long").alias("n"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.monotonically_increasing_id()), F.lit(shards)) if shards > 1 else F.lit(0).cast("long"))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "cluster", "n"], kind="stable", na_position="first").reset_index(drop=True)

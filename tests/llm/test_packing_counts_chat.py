@@ -68,8 +68,12 @@ def test_packing_edges(spark):
     twice = K.packed(spark.createDataFrame([(None, "a b", "x"), (None, "a b", "x"), (1, "c", None), (1, "c", None)], schema)).collect()
     assert len(twice) == 4 and len({(x.shard, x.bin) for x in twice if x.doc_id is None}) == 2
     given = spark.createDataFrame([(1, "a", "x", 7), (2, "b", "y", 7), (3, "c", "z", 8)], schema + ", cluster long")
-    bins = {x.doc_id: x.bin for x in K.packed(given).collect()}
+    bins = {x.doc_id: x.bin for x in K.packed(given, cluster="cluster").collect()}
     assert bins[1] != bins[2]
+    assert len({x.bin for x in K.packed(given).collect()}) == 1  # a column of that name is no cluster unless it is named
+    hot = spark.createDataFrame([(5, f"w{k}", f"s{k}") for k in range(400)], schema)
+    shards = [x["count"] for x in K.packed(hot, 64, 20).groupBy("shard").count().collect()]
+    assert len(shards) == 20 and max(shards) < 60
 
 
 def test_packing_whole_table(spark, sf_dir):
