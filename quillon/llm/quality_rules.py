@@ -1,8 +1,8 @@
 """Quality rules [native]: a hashed n-gram log-likelihood ratio between trusted-target and raw-corpus multinomials.
 
 N-grams are the words themselves and the ends of words (their last three characters), each hashed into ``BUCKETS``
-buckets. The raw multinomial counts every document; the target multinomial counts trusted ones: a bounded, hash-drawn
-sample of ``TRUSTED_ROWS`` documents labelled good. A document's score is the mean over its n-grams of
+buckets. The raw multinomial counts every document; the target multinomial counts every trusted one, that is, those labelled
+good. A document's score is the mean over its n-grams of
 log(p_target / p_raw), both with ``PRIOR`` added to each bucket; it is kept if the score is at least ``LEAST`` and it
 passes the plain rules. The two tables (2 x BUCKETS numbers, whatever the corpus) enter the plan as one literal.
 
@@ -15,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sample_of_labels, table
+from .common import small, table
 from .native import words
 
 BUCKETS = 8192
 PRIOR = 50.0
-TRUSTED_ROWS = 20_000
 #: Nats per n-gram. Ordinary text scores near 0, whatever its language; upper-cased or symbol-ridden text far below.
 LEAST = -0.5
 
@@ -31,7 +30,8 @@ def _grams(w: str) -> Column:
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(p_target / p_raw) of each bucket: first those of words, then those of word ends."""
-    marked = docs.select("doc_id", words(F.col("text")).alias("w")).join(F.broadcast(trusted.select("doc_id").distinct().withColumn("t", F.lit(1))), "doc_id", "left")
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("t", F.lit(1))
+    marked = docs.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left").select("t", words(F.col("text")).alias("w"))
     counts = marked.select("t", F.explode(_grams("w")).alias("g")).groupBy("g").agg(F.count("*").alias("raw"), F.count("t").alias("target")).collect()
     out = [0.0] * (2 * BUCKETS)
     import math
@@ -79,5 +79,4 @@ def judged(docs: DataFrame, ratio: list[float]) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    trusted = sample_of_labels(table(spark, sf_dir, "labels"), F.col("quality") == 1, TRUSTED_ROWS)
-    return judged(docs, ratios(docs, trusted))
+    return judged(docs, ratios(docs, table(spark, sf_dir, "labels").where("quality = 1")))
