@@ -41,7 +41,7 @@ def audit_catalog(store: SnapshotStore) -> list[tuple[str, str, str]]:
 
 def prune(store: SnapshotStore, dry_run: bool = True, protected: tuple[str, ...] = (), keep: set[str] | None = None) -> list[str]:
     """Drops what is not a source table or the calendar; the names, in order. Protected roots are refused."""
-    if any(store.root.rstrip("/").endswith(p) for p in protected):
+    if store.root.rstrip("/").rsplit("/", 1)[-1] in protected:
         raise PermissionError(f"{store.root} is protected")
     names = store.tables()
     if not names:

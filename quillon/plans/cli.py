@@ -38,7 +38,9 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--max-staleness-days", type=int, default=0)
             c.add_argument("--reference-policy", choices=("refresh", "report"), default="refresh")
     sub.add_parser("audit")
-    sub.add_parser("prune").add_argument("--dry-run", action="store_true")
+    prune_ = sub.add_parser("prune")
+    prune_.add_argument("--dry-run", action="store_true")
+    prune_.add_argument("--protect", nargs="*", default=[], metavar="NAME", help="names of stores that are never pruned, besides those in QUILLON_PROTECTED")
     for c in sub.choices.values():
         c.add_argument("--db", required=True)
     return p
@@ -62,7 +64,7 @@ def main(argv: list[str] | None = None, transport=None, spark: SparkSession | No
             print(t, c, kind)
         return 0
     if args.command == "prune":
-        names = prune(store, args.dry_run)
+        names = prune(store, args.dry_run, (*args.protect, *os.environ.get("QUILLON_PROTECTED", "").split()))
         print(f"Objects to drop: {len(names)}", *names, sep="\n")
         return 0
     client = Client(os.environ.get("QUILLON_API_URL", ""), os.environ["QUILLON_API_KEY"], transport or UrlTransport(), getattr(args, "page_safety_limit", SYNC_PAGES), args.bulk_poll_seconds, args.bulk_max_attempts)

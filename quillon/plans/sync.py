@@ -5,12 +5,16 @@ from __future__ import annotations
 import logging
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from datetime import date
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import redact
 from ..operators.labels import trading_calendar
@@ -73,13 +77,31 @@ class Sync:
     def _local_max(self, spec: SourceSpec) -> date | None:
         return self.store.watermark(spec.table, spec.watermark) if spec.watermark else None
 
+    @contextmanager
+    def _landed(self, files: list[Path]) -> Iterator[str]:
+        """A folder beside the tables, which executors can read, with copies of the driver's files; it goes afterwards."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        landing = jvm.org.apache.hadoop.fs.Path(f"{self.store.root}/.landing-{uuid.uuid4().hex}")
+        fs = landing.getFileSystem(conf)
+        fs.mkdirs(landing)
+        try:
+            for f in files:
+                fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(f"file://{f.resolve()}"), jvm.org.apache.hadoop.fs.Path(landing, f.name))
+            yield landing.toString()
+        finally:
+            fs.delete(landing, True)
+
+    def _known(self, spec: SourceSpec) -> StructType | None:
+        return self.store.read(spec.table).schema if self.store.exists(spec.table) else None
+
     def _bulk(self, spec: SourceSpec) -> tuple[int, int]:
         """Replaces the table by the bulk export. Downloads go only after success, and only if not to be kept."""
         root = self.download_dir or Path(tempfile.mkdtemp(prefix="quillon-bulk-"))
         archive = self.client.bulk_zip(spec, root)
-        counts = self.store.full_replace(spec.table, read_csv(self.spark, str(extract_csv(archive)), spec))
+        with self._landed([extract_csv(archive)]) as folder:
+            counts = self.store.full_replace(spec.table, read_csv(self.spark, folder, spec))
         if not self.keep_downloads:
-            shutil.rmtree(archive.parent)
+            shutil.rmtree(archive.parent if self.download_dir else root)
         return counts
 
     def _replaced(self, spec: SourceSpec, result: Result) -> Result:
@@ -93,11 +115,13 @@ class Sync:
         result.status = "updated"
         return result
 
-    def _download(self, spec: SourceSpec, local_max: date | None, folder: Path) -> DataFrame | None:
+    def _pages(self, spec: SourceSpec, local_max: date | None, folder: Path) -> int | None:
+        """Rows added by the source's new pages; None if they could not be read."""
         try:
             if not self.client.land_pages(spec, local_max, folder):
                 return None
-            return read_csv(self.spark, [str(p) for p in sorted(folder.glob("page-*.csv"))], spec)
+            with self._landed(sorted(folder.glob("page-*.csv"))) as landing:
+                return self.merge(spec, read_csv(self.spark, landing, spec, known=self._known(spec)))
         except Exception as e:  # noqa: BLE001
             log.error("%s: download failed: %s", spec.name, redact(e))
             return None
@@ -125,13 +149,13 @@ class Sync:
             return result
         folder = Path(tempfile.mkdtemp(prefix="quillon-pages-", dir=self.download_dir))
         try:
-            rows = self._download(spec, result.local_max, folder)
-            if rows is None:
-                result.status = "download_failed"
-                return result
             if self.refresh:
                 result.rows_before = self.store.rows(spec.table)
-            result.rows_added = self.merge(spec, rows)
+            added = self._pages(spec, result.local_max, folder)
+            if added is None:
+                result.status = "download_failed"
+                return result
+            result.rows_added = added
             if self.refresh:
                 result.rows_after = result.rows_before + result.rows_added
         finally:

@@ -196,7 +196,7 @@ def _prune_plan(spark, d):
 
 @query(
     "redact_text",
-    r"""SELECT event_id, regexp_replace(regexp_replace(t, '((?:^|[?&\s])api_key=)[^&\s''"<>)]+', '\1<redacted>', 'g'), '([''"]api_key[''"]\s*:\s*[''"])[^''"]+([''"])', '\1<redacted>\2', 'g') AS text
+    r"""SELECT event_id, regexp_replace(t, '(?i)\b(api_?key["'']?\s*[=:]\s*["'']?)[^\s"''&<>(),;{}\[\]]+', '\1<redacted>', 'g') AS text
 FROM (SELECT event_id, 'GET /x?api_key=k' || user_id || '&a=1 {''api_key'': ''s' || event_id || ''', "b": ' || props || '}' AS t FROM events)""",
 )
 def _redact_text(spark, d):

@@ -14,6 +14,7 @@ class SourceSpec:
 
     ``overlap``: rows of the last watermark are read again, so that same-day corrections arrive. ``full``: the table is
     always replaced. ``bootstrap``: without local rows it is loaded from a bulk export. ``opt_in``: only on request.
+    ``quoted_newlines``: free text in its CSV may hold line breaks, so that a file cannot be split.
     ``audit_date`` and ``entity`` are the columns that the audit reports on.
     """
 
@@ -25,6 +26,7 @@ class SourceSpec:
     overlap: bool = False
     bootstrap: bool = False
     opt_in: bool = False
+    quoted_newlines: bool = False
     date_columns: tuple[str, ...] = ()
     audit_date: str | None = None
     entity: str | None = None
@@ -43,14 +45,14 @@ def _specs() -> list[SourceSpec]:
         s("SF2", "sf2", "Insider transactions", "filingdate", overlap=True, date_columns=("filingdate", "transactiondate"), audit_date="filingdate", entity="ticker"),
         s("SFP", "sfp", "Fund prices", "date", bootstrap=True, opt_in=True, date_columns=("date", "lastupdated"), audit_date="date", entity="ticker"),
         s("METRICS", "metrics", "Daily snapshot metrics", "lastupdated", overlap=True, date_columns=("date", "lastupdated"), audit_date="date", entity="ticker"),
-        s("TICKERS", "tickers", "Ticker metadata", "lastupdated", full=True, date_columns=("lastupdated", "firstadded", "firstpricedate", "lastpricedate", "firstquarter", "lastquarter"), entity="ticker"),
+        s("TICKERS", "tickers", "Ticker metadata", "lastupdated", full=True, quoted_newlines=True, date_columns=("lastupdated", "firstadded", "firstpricedate", "lastpricedate", "firstquarter", "lastquarter"), entity="ticker"),
         s("ACTIONS", "actions", "Corporate actions", "date", date_columns=("date",), audit_date="date", entity="ticker"),
         s("EVENTS", "events", "Corporate event filings", "date", date_columns=("date",), audit_date="date", entity="ticker"),
         s("SF3", "sf3", "Institutional holdings", "calendardate", bootstrap=True, date_columns=("calendardate",), audit_date="calendardate", entity="ticker"),
         s("SF3A", "sf3a", "Institutional holdings by ticker", "calendardate", bootstrap=True, date_columns=("calendardate",), audit_date="calendardate", entity="ticker"),
         s("SF3B", "sf3b", "Institutional holdings by investor", "calendardate", bootstrap=True, date_columns=("calendardate",), audit_date="calendardate", entity="investorname"),
         s("SP500", "sp500", "Index constituent changes", "date", full=True, date_columns=("date",), audit_date="date", entity="ticker"),
-        s("INDICATORS", "indicators", "Indicator descriptions", None, full=True, opt_in=True),
+        s("INDICATORS", "indicators", "Indicator descriptions", None, full=True, opt_in=True, quoted_newlines=True),
     ]
 
 

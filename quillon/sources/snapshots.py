@@ -1,19 +1,23 @@
-"""A store of versioned Parquet tables: a version is written whole, checked, and made current by one atomic rename.
-
-``<root>/<table>/v=000001/`` holds a version's files and ``<root>/<table>/CURRENT-000001`` names it; the largest such
-name counts. A failure before the last step leaves the version before as it was; its remains are removed by the next
-write. All steps go through Hadoop's file system API, so the root may be any path that Spark can write. Readers of an
-older version keep their files until two newer ones exist.
+"""A store of Parquet tables: a version is a manifest of data files, made current by one atomic rename.
+
+``<root>/<table>/data-<id>/`` holds the files of one write, ``<root>/<table>/CURRENT-000001`` is a manifest: a line of JSON
+that lists the files of a version and notes for readers of streams. The largest number counts. An append adds files and
+rewrites none; an overlap rewrites only the files that hold rows from the watermark on. Files are staged under an id of
+their own, so writers do not meet before the rename; a writer that finds its number taken fails, and what it staged goes.
+All steps go through Hadoop's file system API, so the root may be any path that Spark can write. Files that only versions
+older than the last ``KEEP`` use are removed.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import aligned, append_newer, newer, overlap_replace
+from ..operators.incremental import aligned, newer
 
 
 class ReplaceError(RuntimeError):
@@ -28,25 +32,80 @@ class SnapshotStore:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    # ------------------------------------------------------------------------------------------------ manifests
+
     def _names(self, path: str) -> list[str]:
         p = self._path(path)
         return sorted(x.getPath().getName() for x in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
-    def _version(self, table: str) -> int | None:
-        marks = [int(n.split("-")[1]) for n in self._names(f"{self.root}/{table}") if n.startswith("CURRENT-")]
-        return max(marks, default=None)
+    def _versions(self, table: str) -> list[int]:
+        return [int(n.split("-")[1]) for n in self._names(f"{self.root}/{table}") if n.startswith("CURRENT-")]
+
+    def _manifest(self, table: str, version: int | None = None) -> dict:
+        version = max(self._versions(table), default=None) if version is None else version
+        if version is None:
+            return {"version": 0, "files": [], "notes": {}}
+        stream = self._fs.open(self._path(f"{self.root}/{table}/CURRENT-{version:06d}"))
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {"version": version} | json.loads(text)
+
+    def _commit(self, table: str, version: int, files: list[str], notes: dict) -> None:
+        base = f"{self.root}/{table}"
+        pending, current = self._path(f"{base}/.pending-{uuid.uuid4().hex}"), self._path(f"{base}/CURRENT-{version:06d}")
+        out = self._fs.create(pending, True)
+        try:
+            out.write(bytearray(json.dumps({"files": files, "notes": notes}).encode()))
+        finally:
+            out.close()
+        if self._fs.exists(current) or not self._fs.rename(pending, current):
+            self._fs.delete(pending, False)
+            raise ReplaceError(f"{table}: version {version} could not be made current")
+        self._forget(table, version)
+
+    def _forget(self, table: str, version: int) -> None:
+        """Removes the files that only old versions use."""
+        base = f"{self.root}/{table}"
+        old = [v for v in self._versions(table) if v <= version - self.KEEP]
+        if not old:
+            return
+        kept = {f for v in self._versions(table) if v not in old for f in self._manifest(table, v)["files"]}
+        gone = {f for v in old for f in self._manifest(table, v)["files"]} - kept
+        folders = {f.split("/")[0] for f in kept}
+        for f in gone:
+            folder = f.split("/")[0]
+            self._fs.delete(self._path(f"{base}/{f if folder in folders else folder}"), True)
+        for v in old:
+            self._fs.delete(self._path(f"{base}/CURRENT-{v:06d}"), False)
+
+    def _stage(self, table: str, df: DataFrame) -> list[str]:
+        """Files of ``df``, relative to the table."""
+        folder = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{table}/{folder}")
+        return [f"{folder}/{n}" for n in self._names(f"{self.root}/{table}/{folder}") if n.endswith(".parquet")]
+
+    def _unstage(self, table: str, files: list[str]) -> None:
+        for folder in {f.split("/")[0] for f in files}:
+            self._fs.delete(self._path(f"{self.root}/{table}/{folder}"), True)
+
+    def _open(self, table: str, files: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{table}/{f}" for f in files])
+
+    # -------------------------------------------------------------------------------------------------- readers
 
     def tables(self) -> list[str]:
-        return [n for n in self._names(self.root) if self._version(n) is not None]
+        return [n for n in self._names(self.root) if self._versions(n)]
 
     def exists(self, table: str) -> bool:
-        return self._version(table) is not None
+        return bool(self._versions(table))
 
     def read(self, table: str) -> DataFrame:
-        version = self._version(table)
-        if version is None:
+        files = self._manifest(table)["files"]
+        if not files:
             raise KeyError(f"no table {table}")
-        return self.spark.read.parquet(f"{self.root}/{table}/v={version:06d}")
+        return self._open(table, files)
 
     def columns(self, table: str) -> list[str]:
         return self.read(table).columns
@@ -54,67 +113,85 @@ class SnapshotStore:
     def rows(self, table: str) -> int:
         return self.read(table).count() if self.exists(table) else 0
 
+    def notes(self, table: str) -> dict:
+        return self._manifest(table)["notes"]
+
     def watermark(self, table: str, column: str) -> date | None:
         """The largest date of a column; None only if the table is absent or has no value. Other failures are raised."""
         if not self.exists(table):
             return None
         return self.read(table).agg(F.max(F.col(column).cast("date"))).first()[0]
 
+    # -------------------------------------------------------------------------------------------------- writers
+
     def _guard(self) -> None:
         if self.read_only:
             raise PermissionError("the store is open for reading only")
 
-    def write(self, table: str, df: DataFrame, expect_rows: int | None = None, expect_columns: list[str] | None = None) -> int:
+    def write(self, table: str, df: DataFrame, expect_rows: int | None = None, expect_columns: list[str] | None = None, notes: dict | None = None) -> int:
         """Makes df the table's content and returns its rows. Checks come before the swap."""
         self._guard()
-        version = (self._version(table) or 0) + 1
-        target = f"{self.root}/{table}/v={version:06d}"
-        self._fs.delete(self._path(target), True)
+        version = self._manifest(table)["version"] + 1
         if not df.columns:
             raise ReplaceError(f"{table}: no columns")
-        df.write.parquet(target)
-        staged = self.spark.read.parquet(target)
-        n = staged.count()
-        if expect_rows is not None and n != expect_rows:
-            raise ReplaceError(f"{table}: staged {n} rows, expected {expect_rows}")
-        if expect_columns is not None and staged.columns != expect_columns:
-            raise ReplaceError(f"{table}: staged columns {staged.columns}, expected {expect_columns}")
-        self._commit(table, version)
+        files = self._stage(table, df)
+        try:
+            staged = self._open(table, files)
+            n = staged.count()
+            if expect_rows is not None and n != expect_rows:
+                raise ReplaceError(f"{table}: staged {n} rows, expected {expect_rows}")
+            if expect_columns is not None and staged.columns != expect_columns:
+                raise ReplaceError(f"{table}: staged columns {staged.columns}, expected {expect_columns}")
+            self._commit(table, version, files, notes or {})
+        except Exception:
+            self._unstage(table, files)
+            raise
         return n
 
-    def _commit(self, table: str, version: int) -> None:
-        base = f"{self.root}/{table}"
-        pending = self._path(f"{base}/.pending-{version:06d}")
-        self._fs.create(pending, True).close()
-        if not self._fs.rename(pending, self._path(f"{base}/CURRENT-{version:06d}")):
-            raise ReplaceError(f"{table}: version {version} could not be made current")
-        for name in self._names(base):
-            for mark in ("CURRENT-", "v="):
-                if name.startswith(mark) and int(name.removeprefix(mark)) <= version - self.KEEP:
-                    self._fs.delete(self._path(f"{base}/{name}"), True)
-
     def full_replace(self, table: str, df: DataFrame, expect_rows: int | None = None) -> tuple[int, int]:
         """Rows before and after."""
         before = self.rows(table)
         return before, self.write(table, df, expect_rows, df.columns)
 
+    def append(self, table: str, rows: DataFrame, notes: dict | None = None, without: list[str] | None = None, rest: DataFrame | None = None) -> int:
+        """Adds rows as files of their own; returns how many. ``without``: files that go, ``rest``: what stays of them."""
+        self._guard()
+        old = self._manifest(table)
+        files = self._stage(table, rows)
+        left = self._stage(table, rest) if rest is not None else []
+        try:
+            n = self._open(table, files).count()
+            kept = [f for f in old["files"] if f not in set(without or [])]
+            self._commit(table, old["version"] + 1, kept + left + files, old["notes"] | (notes or {}))
+        except Exception:
+            self._unstage(table, files + left)
+            raise
+        return n
+
     def append_newer(self, table: str, new: DataFrame, column: str) -> int:
         """Adds distinct rows above the watermark; the first rows of a table are taken as they are. Rows added."""
         if not self.exists(table):
             return self.write(table, new)
-        before, mark = self.rows(table), self.watermark(table, column)
-        return self.write(table, append_newer(self.read(table), new, column, mark)) - before
+        return self.append(table, newer(self.read(table), new, column, self.watermark(table, column)))
+
+    def overlap_replace(self, table: str, new: DataFrame, column: str, notes: dict | None = None) -> int:
+        """Replaces what lies at or above the watermark; the first rows of a table are taken as they are. Rows added, net.
 
-    def overlap_replace(self, table: str, new: DataFrame, column: str) -> int:
-        """Replaces what lies at or above the watermark; the first rows of a table are taken as they are. Rows added, net."""
+        Old rows with a null watermark stay; new ones are not taken, unless the table has no watermark at all.
+        """
         if not self.exists(table):
-            return self.write(table, new)
-        before, mark = self.rows(table), self.watermark(table, column)
-        return self.write(table, overlap_replace(self.read(table), new, column, mark)) - before
+            return self.write(table, new, notes=notes)
+        mark, old = self.watermark(table, column), self.read(table)
+        rows = aligned(old, new)
+        if mark is None:
+            return self.append(table, rows.distinct(), notes)
+        late = F.col(column) >= F.lit(mark)
+        touched = old.where(late).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()
+        # An input file's name is a URI; its last two parts are the path within the table.
+        files = ["/".join(r.f.split("/")[-2:]) for r in touched]
+        rest = self._open(table, files).where(~F.coalesce(late, F.lit(False)))
+        return self.append(table, rows.where(late).distinct(), notes, files, rest) - sum(r.n for r in touched)
 
     def drop(self, table: str) -> None:
         self._guard()
         self._fs.delete(self._path(f"{self.root}/{table}"), True)
-
-
-__all__ = ["ReplaceError", "SnapshotStore", "aligned", "newer"]

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from helpers import Response, Source, zipped
+from quillon.functions.scalars import redact
 from quillon.plans import cli
 from quillon.plans.audit import audit, audit_catalog, audit_duplicates, prune
 from quillon.plans.gate import assess, run_gate
@@ -52,16 +53,16 @@ def test_registry_selection():
 
 
 def test_store_keeps_old_version_when_a_write_fails(store, monkeypatch):
-    _put(store, "tickers", [("OLD", "Original")], "ticker string, name string")
-    new = store.spark.createDataFrame([("NEW", "x")], "ticker string, name string")
+    _put(store, "tickers", [("QLN", "Quill Lane"), ("RRB", "Reed & Rib")], "ticker string, name string")
+    new = store.spark.createDataFrame([("INK", "Inkwell")], "ticker string, name string")
     with pytest.raises(ReplaceError):
         store.write("tickers", new, expect_rows=2)
     monkeypatch.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
     with pytest.raises(OSError):
         store.write("tickers", new)
     monkeypatch.undo()
-    assert _rows(store, "tickers") == [("OLD", "Original")]
-    assert store.full_replace("tickers", new) == (1, 1) and _rows(store, "tickers") == [("NEW", "x")]
+    assert _rows(store, "tickers") == [("QLN", "Quill Lane"), ("RRB", "Reed & Rib")]
+    assert store.full_replace("tickers", new) == (2, 1) and _rows(store, "tickers") == [("INK", "Inkwell")]
     with pytest.raises(PermissionError):
         SnapshotStore(store.spark, store.root, read_only=True).write("tickers", new)
 
@@ -69,7 +70,47 @@ def test_store_keeps_old_version_when_a_write_fails(store, monkeypatch):
 def test_store_keeps_two_versions(store, tmp_path):
     for k in range(4):
         _put(store, "t", [(k,)], "k int")
-    assert sorted(p.name for p in (tmp_path / "db/t").iterdir() if not p.name.startswith(".")) == ["CURRENT-000003", "CURRENT-000004", "v=000003", "v=000004"]
+    names = sorted(p.name for p in (tmp_path / "db/t").iterdir() if not p.name.startswith("."))
+    assert names[:2] == ["CURRENT-000003", "CURRENT-000004"] and len(names) == 4 and all(n.startswith("data-") for n in names[2:])
+
+
+def _files(tmp_path, table):
+    return {p.name: p.stat().st_mtime_ns for p in (tmp_path / "db" / table).rglob("*.parquet")}
+
+
+def test_an_append_rewrites_no_file(store, tmp_path):
+    _put(store, "sep_base", [(D(2031, 3, k), "QLN", float(k)) for k in range(1, 9)], SEP)
+    old = _files(tmp_path, "sep_base")
+    new = store.spark.createDataFrame([(D(2031, 3, 8), "QLN", 0.0), (D(2031, 3, 9), "QLN", 9.0)], SEP)
+    assert store.append_newer("sep_base", new, "date") == 1
+    now = _files(tmp_path, "sep_base")
+    assert old.items() <= now.items() and len(now) > len(old) and store.rows("sep_base") == 9
+
+
+def test_an_overlap_rewrites_only_files_with_late_rows(store, tmp_path):
+    _put(store, "sf2", [(D(2031, 3, 1), "QLN", 1.0)], SEP)
+    store.append_newer("sf2", store.spark.createDataFrame([(D(2031, 3, 2), "QLN", 2.0), (D(2031, 3, 2), "RRB", 2.5)], SEP).coalesce(1), "date")
+    store.append("sf2", store.spark.createDataFrame([(None, "INK", 0.0)], SEP))
+    first = {n: t for n, t in _files(tmp_path, "sf2").items()}
+    assert store.overlap_replace("sf2", store.spark.createDataFrame([(D(2031, 3, 2), "QLN", 7.0), (D(2031, 3, 3), "RRB", 3.0), (D(2031, 3, 1), "QLN", 9.0)], SEP), "date") == 0
+    assert sorted(map(repr, _rows_any(store, "sf2"))) == sorted(map(repr, [(D(2031, 3, 1), "QLN", 1.0), (D(2031, 3, 2), "QLN", 7.0), (D(2031, 3, 3), "RRB", 3.0), (None, "INK", 0.0)]))
+    kept = set(store._manifest("sf2")["files"])
+    assert sum(n in {f.split("/")[-1] for f in kept} for n in first) >= 2
+
+
+def _rows_any(store, table):
+    return [tuple(r) for r in store.read(table).collect()]
+
+
+def test_two_writers_of_one_version(store, monkeypatch):
+    _put(store, "t", [(0,)], "k int")
+    late = SnapshotStore(store.spark, store.root)
+    old = late._manifest("t")
+    assert store.append("t", store.spark.createDataFrame([(1,)], "k int")) == 1
+    monkeypatch.setattr(late, "_manifest", lambda *a: old)
+    with pytest.raises(ReplaceError):
+        late.append("t", store.spark.createDataFrame([(2,)], "k int"))
+    assert _rows(store, "t") == [(0,), (1,)]
 
 
 def test_watermark_is_none_only_without_rows(store):
@@ -80,12 +121,12 @@ def test_watermark_is_none_only_without_rows(store):
 
 
 def test_incremental_append_and_calendar(store, tmp_path):
-    _put(store, "sep_base", [(D(2026, 1, 2), "AAPL", 100.0)], SEP)
-    src = Source({"SEP": ["2026-01-03"]}, {"SEP": ["date,ticker,close\n2026-01-03,AAPL,101.0\n2026-01-03,AAPL,101.0\n"]})
+    _put(store, "sep_base", [(D(2031, 3, 4), "QLN", 12.5)], SEP)
+    src = Source({"SEP": ["2031-03-05"]}, {"SEP": ["close,date,ticker\n13.25,2031-03-05,RRB\n13.25,2031-03-05,RRB\n12.75,2031-03-05,QLN\n"]})
     results, calendar, code = _sync(store, src, tmp_path).run(["SEP"])
-    assert code == 0 and results[0].status == "updated" and results[0].rows_added == 1 and results[0].local_max == D(2026, 1, 3)
-    assert calendar["status"] == "updated" and _rows(store, "trading_calendar") == [(D(2026, 1, 2),), (D(2026, 1, 3),)]
-    assert all(p.get("date.gte") == "2026-01-03" for _, p in src.calls)
+    assert code == 0 and results[0].status == "updated" and results[0].rows_added == 2 and results[0].local_max == D(2031, 3, 5)
+    assert calendar["status"] == "updated" and _rows(store, "trading_calendar") == [(D(2031, 3, 4),), (D(2031, 3, 5),)]
+    assert all(p.get("date.gte") == "2031-03-05" for _, p in src.calls)
     assert refresh_calendar(store)["status"] == "up_to_date" and list(_dir(tmp_path).iterdir()) == []
 
 
@@ -102,36 +143,36 @@ def test_check_only_changes_nothing(store, tmp_path):
 
 
 @pytest.mark.parametrize(("name", "schema", "old", "csv", "mark"), [
-    ("SF1", "ticker string, dimension string, datekey date, reportperiod date, lastupdated date, revenue long", ("AAPL", "ARQ", D(2025, 12, 31), D(2025, 12, 31), D(2026, 1, 2), 100), "revenue,ticker,dimension,datekey,reportperiod,lastupdated\n200,AAPL,ARQ,2025-12-31,2025-12-31,2026-01-02\n", "lastupdated"),
-    ("METRICS", "ticker string, date date, lastupdated date, marketcap long", ("AAPL", D(2026, 1, 1), D(2026, 1, 2), 100), "ticker,date,lastupdated,marketcap\nAAPL,2026-01-01,2026-01-02,200\n", "lastupdated"),
+    ("SF1", "ticker string, dimension string, datekey date, reportperiod date, lastupdated date, revenue long", ("QLN", "MRY", D(2030, 9, 30), D(2030, 6, 30), D(2031, 3, 4), 41), "revenue,ticker,dimension,datekey,reportperiod,lastupdated\n57,QLN,MRY,2030-09-30,2030-06-30,2031-03-04\n", "lastupdated"),
+    ("METRICS", "ticker string, date date, lastupdated date, marketcap long", ("RRB", D(2031, 3, 3), D(2031, 3, 4), 41), "ticker,date,lastupdated,marketcap\nRRB,2031-03-03,2031-03-04,57\n", "lastupdated"),
 ])
 def test_same_day_correction_replaces(store, tmp_path, name, schema, old, csv, mark):
     table = SOURCES[name].table
     _put(store, table, [old], schema)
-    src = Source({name: ["2026-01-02"]}, {name: [csv]})
+    src = Source({name: ["2031-03-04"]}, {name: [csv]})
     result = _sync(store, src, tmp_path).table(name)
-    assert result.status == "updated" and _rows(store, table) == [(*old[:-1], 200)]
-    assert all(p.get(f"{mark}.gte") == "2026-01-02" for _, p in src.calls)
+    assert result.status == "updated" and _rows(store, table) == [(*old[:-1], 57)]
+    assert all(p.get(f"{mark}.gte") == "2031-03-04" for _, p in src.calls)
 
 
 def test_bootstrap_then_pages(store, tmp_path):
-    src = Source(bulk={"SF3": "ticker,calendardate,shares\nAAPL,2026-01-02,200\n"})
+    src = Source(bulk={"SF3": "ticker,calendardate,shares\nQLN,2026-01-02,8\n"})
     assert _sync(store, src, tmp_path, check_only=True).table("SF3").status == "needs_bootstrap"
     r = _sync(store, src, tmp_path).table("SF3")
     assert (r.status, r.rows_before, r.rows_after, r.local_max) == ("updated", 0, 1, D(2026, 1, 2)) and list(_dir(tmp_path).iterdir()) == []
-    src = Source({"SF3": ["2026-01-05"]}, {"SF3": ["ticker,calendardate,shares\nAAPL,2026-01-05,300\n"]})
+    src = Source({"SF3": ["2026-01-05"]}, {"SF3": ["ticker,calendardate,shares\nINK,2026-01-05,9\n"]})
     assert _sync(store, src, tmp_path).table("SF3").rows_added == 1
     assert all("qopts.export" not in p and p["calendardate.gte"] == "2026-01-03" for _, p in src.calls)
 
 
 def test_full_table_is_always_replaced(store, tmp_path):
     schema = "ticker string, lastupdated date, name string"
-    _put(store, "tickers", [("AAPL", D(2026, 1, 2), "Old"), ("MSFT", D(2026, 1, 2), "Deleted")], schema)
-    csv = "ticker,lastupdated,firstadded,firstpricedate,lastpricedate,firstquarter,lastquarter,name\nAAPL,2026-01-02,,,,,,Corrected\n"
+    _put(store, "tickers", [(t, D(2031, 3, 4), "a name") for t in ("QLN", "RRB", "INK")], schema)
+    csv = 'ticker,lastupdated,firstadded,firstpricedate,lastpricedate,firstquarter,lastquarter,name\nRRB,2031-03-04,,,,,,"Reed\n& Rib"\n'
     src = Source(bulk={"TICKERS": csv})
     assert _sync(store, src, tmp_path, check_only=True).table("TICKERS").status == "needs_update"
     r = _sync(store, src, tmp_path, keep_downloads=True).table("TICKERS")
-    assert (r.rows_before, r.rows_after, r.rows_added) == (2, 1, -1) and store.read("tickers").first().name == "Corrected"
+    assert (r.rows_before, r.rows_after, r.rows_added) == (3, 1, -2) and store.read("tickers").first().name == "Reed\n& Rib"
     assert len(list(_dir(tmp_path).iterdir())) == 1
     stale = _sync(store, Source(), tmp_path).table("TICKERS")
     assert stale.status == "download_failed" and store.rows("tickers") == 1
@@ -163,7 +204,9 @@ def test_probe_without_answer(store, tmp_path):
     assert client.probe(SOURCES["SEP"], D(2026, 1, 1)) == (False, None)
     with pytest.raises(SourceError) as e:
         client.bulk_zip(SOURCES["TICKERS"], tmp_path)
-    assert "secret-key" not in str(e.value) and "<redacted>" in str(e.value)
+    assert "secret-key" not in str(e.value) and "<redacted>" in str(e.value) and "secret-key" not in repr(client)
+    for text in ("Client(api_key='secret-key', x=1)", '{"api_key": "secret-key"}', "api_key=secret-key", "apikey: secret-key"):
+        assert "secret-key" not in redact(text) and redact(text).count("<redacted>") == 1
 
 
 def test_archives(tmp_path):
@@ -193,8 +236,8 @@ def test_gate(store, tmp_path):
     assert out["blockers"] == ["TICKERS requires reference refresh before model use"]
     late = Result("DAILY", "daily", "incremental", "up_to_date", D(2026, 1, 1), D(2026, 1, 5))
     assert assess(late, SOURCES["DAILY"], 1) == ["DAILY is 4 day(s) behind API max 2026-01-05; allowed lag is 1"]
-    assert assess(Result("SEP", "sep_base", "incremental", "needs_update"), SOURCES["SEP"]) == ["SEP still requires needs update", "SEP has no local max date"]
-    assert assess(Result("INDICATORS", "indicators", "full", "download_failed"), SOURCES["INDICATORS"]) == ["INDICATORS failed with status download_failed", "INDICATORS source table is missing"]
+    assert assess(Result("SEP", "sep_base", "incremental", "needs_update"), SOURCES["SEP"]) == ["SEP: needs_update, nothing was loaded", "SEP: no dates in the store"]
+    assert assess(Result("INDICATORS", "indicators", "full", "download_failed"), SOURCES["INDICATORS"]) == ["INDICATORS: the run ended with download_failed", "INDICATORS: no such table in the store"]
     with pytest.raises(ValueError):
         run_gate(_sync(store, src, tmp_path), [], -1)
 
@@ -202,15 +245,15 @@ def test_gate(store, tmp_path):
 def test_audit_and_prune(store):
     _put(store, "sfp", [("A", D(2026, 1, 2), D(2026, 1, 2), 1.0), ("B", D(2026, 1, 5), D(2026, 1, 5), 1.0)], "ticker string, date date, lastupdated date, close double")
     _put(store, "sep_base", [(D(2026, 1, 2), "A", 1.0), (D(2026, 1, 2), "A", 2.0)], SEP)
-    _put(store, "derived_feature_table", [("A",)], "ticker string")
+    _put(store, "my_panel", [("A",)], "ticker string")
     rows = {r.table_name: r for r in audit(store).collect()}
     assert len(rows) == 15 and (rows["sfp"].min_date, rows["sfp"].max_date, rows["sfp"].distinct_entities) == (D(2026, 1, 2), D(2026, 1, 5), 2)
     assert not rows["daily"].present and rows["daily"].n_rows is None
     assert audit_duplicates(store) == {"sep_base": 1, "daily": None} and ("sfp", "close", "double") in audit_catalog(store)
-    assert prune(store) == ["derived_feature_table"] and store.exists("derived_feature_table")
+    assert prune(store) == ["my_panel"] and store.exists("my_panel")
     with pytest.raises(PermissionError):
         prune(store, protected=("db",))
-    assert prune(store, dry_run=False) == ["derived_feature_table"] and store.tables() == ["sep_base", "sfp"]
+    assert prune(store, dry_run=False) == ["my_panel"] and store.tables() == ["sep_base", "sfp"]
 
 
 def test_command_line(store, tmp_path, monkeypatch, capsys):
@@ -223,23 +266,45 @@ def test_command_line(store, tmp_path, monkeypatch, capsys):
     assert cli.main(["audit", "--db", store.root], spark=store.spark) == 0
     assert cli.main(["prune", "--db", store.root, "--dry-run"], spark=store.spark) == 0
     assert "Objects to drop: 0" in capsys.readouterr().out
+    with pytest.raises(PermissionError):
+        cli.main(["prune", "--db", store.root, "--protect", "db"], spark=store.spark)
+    monkeypatch.setenv("QUILLON_PROTECTED", "other db")
+    with pytest.raises(PermissionError):
+        cli.main(["prune", "--db", store.root], spark=store.spark)
     with pytest.raises(SystemExit):
         cli.main(["gate", "--db", store.root, "--max-staleness-days", "-1"])
 
 
-def test_streaming_ingest(spark, store, tmp_path):
+def _stream(spark, store, tmp_path, name):
     from quillon.streaming import ingest
 
-    schema = "date date, ticker string, close double"
     src = tmp_path / "in"
-    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-    put([(D(2026, 1, 2), "A", 1.0)])
-    run = lambda: ingest(spark.readStream.schema(schema).parquet(str(src)), store, SOURCES["SEP"], str(tmp_path / "cp")).awaitTermination()
+    put = lambda rows: spark.createDataFrame(rows, SEP).coalesce(1).write.mode("append").parquet(str(src))
+    run = lambda: ingest(spark.readStream.schema(SEP).option("maxFilesPerTrigger", 1).parquet(str(src)), store, SOURCES[name], str(tmp_path / "cp")).awaitTermination()
+    return put, run
+
+
+def test_streaming_keeps_rows_of_one_date_in_two_batches(spark, store, tmp_path):
+    put, run = _stream(spark, store, tmp_path, "SEP")
+    _put(store, "sep_base", [(D(2031, 3, 3), "QLN", 1.0)], SEP)
+    put([(D(2031, 3, 4), "QLN", 2.0), (D(2031, 3, 3), "RRB", 9.0)])
+    put([(D(2031, 3, 4), "RRB", 3.0)])
     run()
-    put([(D(2026, 1, 2), "A", 9.0), (D(2026, 1, 3), "A", 2.0)])
+    put([(D(2031, 3, 4), "INK", 4.0)])
     run()
     run()
-    assert _rows(store, "sep_base") == [(D(2026, 1, 2), "A", 1.0), (D(2026, 1, 3), "A", 2.0)]
+    assert _rows(store, "sep_base") == [(D(2031, 3, 3), "QLN", 1.0), (D(2031, 3, 4), "INK", 4.0), (D(2031, 3, 4), "QLN", 2.0), (D(2031, 3, 4), "RRB", 3.0)]
+
+
+def test_a_replayed_batch_changes_nothing(spark, store):
+    from quillon.streaming import merge
+
+    batch = spark.createDataFrame([(D(2031, 3, 4), "QLN", 2.0)], SEP)
+    for name in ("SEP", "SF2"):
+        spec = SOURCES[name]
+        for n in (0, 0, 1, 1, 0):
+            merge(batch.withColumnRenamed("date", spec.watermark), n, "a query", store, spec)
+        assert store.rows(spec.table) == 2 and merge(batch.withColumnRenamed("date", spec.watermark), 0, "another", store, spec)
 
 
 def test_policy_schemas_parse(spark):
