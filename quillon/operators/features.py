@@ -54,14 +54,34 @@ def liquidity(panel: DataFrame, min_price: float = 5.0, min_adv: float = 1e6) ->
     })
 
 
+def running(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """df with the sums of ``values`` (null counts as 0) from each ticker's first row on: one pass, whatever the windows."""
+    w = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({k: F.sum(F.coalesce(v.cast("double"), F.lit(0.0))).over(w) for k, v in values.items()})
+
+
+def last_rows(name: str, k: int) -> Column:
+    """The sum over the last k rows, from running sums: a row costs two reads, not k."""
+    return F.col(name) - F.coalesce(F.lag(name, k).over(by_ticker()), F.lit(0.0))
+
+
+def _moment(k: int, xy: str, x: str, y: str) -> Column:
+    """Sample covariance of x and y over k rows. What is left of two nearly equal numbers is taken for 0."""
+    total = last_rows(xy, k)
+    value = (total - last_rows(x, k) * last_rows(y, k) / k) / (k - 1)
+    return F.when(F.abs(value) > 1e-13 * F.abs(total), value).otherwise(0.0)
+
+
 def risk(panel: DataFrame) -> DataFrame:
     """Realised volatility, and downside volatility with gains counted as 0."""
-    df = returns(panel).withColumn("_d", F.when(F.col("r").isNotNull(), F.pow(F.least("r", F.lit(0.0)), F.lit(2.0))))  # least() skips nulls
+    r = F.col("r")
+    df = running(returns(panel), {"_n": r.isNotNull(), "_r": r, "_rr": r * r, "_d": F.pow(F.least(r, F.lit(0.0)), F.lit(2.0)) * r.isNotNull().cast("int")})
     out = {}
     for k in (21, 63, 252):
-        out[f"risk_realized_vol_{k}d"] = full(F.stddev_samp("r"), "r", k) * YEAR
-        out[f"risk_downside_vol_{k}d"] = F.sqrt(full(F.avg("_d"), "_d", k)) * YEAR
-    return df.withColumns(out).drop("_d")
+        whole = last_rows("_n", k) == k
+        out[f"risk_realized_vol_{k}d"] = F.when(whole, F.sqrt(F.greatest(_moment(k, "_rr", "_r", "_r"), F.lit(0.0)))) * YEAR
+        out[f"risk_downside_vol_{k}d"] = F.when(whole, F.sqrt(F.greatest(last_rows("_d", k) / k, F.lit(0.0)))) * YEAR
+    return df.withColumns(out).drop("_n", "_r", "_rr", "_d")
 
 
 def max_drawdown(panel: DataFrame, windows: tuple[int, ...] = (21, 63, 252)) -> DataFrame:
@@ -101,15 +121,15 @@ def beta(panel: DataFrame, bench: DataFrame) -> DataFrame:
     """Beta and idiosyncratic volatility against the benchmark; the calendar (a row a date) is broadcast."""
     df = returns(panel).join(F.broadcast(benchmark_returns(bench).select("date", "rb")), "date", "left")
     both = F.col("r").isNotNull() & F.col("rb").isNotNull()
-    df = df.withColumns({"_y": F.when(both, F.col("r")), "_x": F.when(both, F.col("rb"))})
+    y, x = F.when(both, F.col("r")), F.when(both, F.col("rb"))
+    df = running(df, {"_n": both, "_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y})
     out = {}
     for k in (21, 63, 252):
-        w = by_ticker(k)
-        enough = F.count("_x").over(w) == k
-        out[f"risk_beta_spy_{k}d"] = F.when(enough, ratio(F.covar_samp("_y", "_x").over(w), F.var_samp("_x").over(w)))
-        cov = F.covar_samp("_y", "_x").over(w)  # var_y (1 - corr^2), without the division by 0 that corr() fails on
-        out[f"risk_idio_vol_spy_{k}d"] = F.when(enough, F.sqrt(F.greatest(F.var_samp("_y").over(w) - ratio(cov * cov, F.var_samp("_x").over(w)), F.lit(0.0))) * YEAR)
-    return df.withColumns(out).drop("_x", "_y")
+        whole, cov, var = last_rows("_n", k) == k, _moment(k, "_xy", "_x", "_y"), _moment(k, "_xx", "_x", "_x")
+        out[f"risk_beta_spy_{k}d"] = F.when(whole, ratio(cov, var))
+        # var_y (1 - corr^2), without the division by 0 that corr() fails on
+        out[f"risk_idio_vol_spy_{k}d"] = F.when(whole, F.sqrt(F.greatest(_moment(k, "_yy", "_y", "_y") - ratio(cov * cov, var), F.lit(0.0))) * YEAR)
+    return df.withColumns(out).drop("_n", "_x", "_y", "_xx", "_yy", "_xy")
 
 
 def regime(panel: DataFrame, bench: DataFrame) -> DataFrame:

@@ -50,9 +50,11 @@ def future_event(panel: DataFrame, events: DataFrame, calendar: DataFrame, days:
     """
     idx = calendar_index(calendar)
     nxt = idx.select("trading_date", "idx").withColumn("prev", F.lag("trading_date").over(Window.orderBy("trading_date")))
-    day = events.select("ticker", "date").distinct()
-    at = F.broadcast(nxt)
-    placed = day.join(at, (day["date"] <= at["trading_date"]) & (at["prev"].isNull() | (day["date"] > at["prev"]))).select("ticker", F.col("idx").alias("e"), F.col("idx").alias("i"))
+    # Every day from the first to the last trading date with the number it counts for: as many rows as days.
+    dense = nxt.select(F.explode(F.sequence(F.coalesce(F.date_add("prev", 1), "trading_date"), "trading_date")).alias("day"), "idx")
+    begin = calendar.agg(F.min("trading_date")).first()[0]
+    day = events.select("ticker", F.greatest("date", F.lit(begin)).alias("day")).where("ticker IS NOT NULL").distinct()
+    placed = day.join(F.broadcast(dense), "day").select("ticker", F.col("idx").alias("e"), F.col("idx").alias("i"))
     rows = panel.join(F.broadcast(idx), F.col("date") == F.col("trading_date")).select(*panel.columns, F.col("idx").alias("i"))
     both = rows.withColumn("_p", F.lit(1)).unionByName(placed.withColumn("_p", F.lit(0)).distinct(), allowMissingColumns=True)
     w = Window.partitionBy("ticker").orderBy(F.col("i").desc()).rangeBetween(Window.unboundedPreceding, -1)

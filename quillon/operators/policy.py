@@ -68,14 +68,20 @@ def two_hop(edge: DataFrame, first: str, second: str) -> DataFrame:
 def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
     """left_id, right_id, score: the best right name for each left one, of names that sound alike in their first word.
 
-    left and right: id, name. Blocking on soundex of the first word and on length keeps the comparison within blocks.
+    left and right: id, name. A block is a soundex code of the first word and a length, which splits the large codes; a left
+    name is sought in the blocks of every length that the least score allows, so each pair meets once. Equal names on either
+    side are compared once.
     """
     key = lambda c: F.soundex(F.split(F.col(c), " ")[0])
-    a = left.select(F.col("id").alias("left_id"), normal_name(F.col("name")).alias("na")).withColumn("k", key("na"))
-    b = right.select(F.col("id").alias("right_id"), normal_name(F.col("name")).alias("nb")).withColumn("k", key("nb"))
-    pairs = a.join(b, "k").where(F.abs(F.length("na") - F.length("nb")) <= (1 - least) * F.greatest(F.length("na"), F.length("nb")))
+    a = left.select(F.col("id").alias("left_id"), normal_name(F.col("name")).alias("na"))
+    b = right.select(normal_name(F.col("name")).alias("nb"), "id").groupBy("nb").agg(F.min("id").alias("right_id"))
+    size = F.length("na")
+    near = F.sequence(F.ceil(size * least).cast("int"), F.floor(size / least).cast("int"))
+    sought = a.select("na").distinct().withColumns({"k": key("na"), "n": F.explode(near)})
+    pairs = sought.join(b.withColumns({"k": key("nb"), "n": F.length("nb")}), ["k", "n"]).where(F.abs(F.length("na") - F.length("nb")) <= (1 - least) * F.greatest(F.length("na"), F.length("nb")))
     scored = pairs.withColumn("score", name_score(F.col("na"), F.col("nb"))).where(F.col("score") >= least)
-    return scored.groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("r"))).alias("x")).select("left_id", (-F.col("x.r")).alias("right_id"), F.col("x.score").alias("score"))
+    best = scored.groupBy("na").agg(F.max(F.struct("score", (-F.col("right_id")).alias("r"))).alias("x"))
+    return a.join(best, "na").select("left_id", (-F.col("x.r")).alias("right_id"), F.col("x.score").alias("score"))
 
 
 def cascade(records: DataFrame, companies: DataFrame, fuzzy_least: float = 0.8) -> DataFrame:

@@ -23,6 +23,11 @@ def by_ticker(rows: int | None = None):
     return w if rows is None else w.rowsBetween(-(rows - 1), 0)
 
 
+def few(df: DataFrame, rows: int = BROADCAST_TICKERS) -> DataFrame:
+    """Hints a broadcast if the counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def rolling_liquidity(panel: DataFrame) -> DataFrame:
     """adv_20, adv_60 (means over so many rows at most) and obs_60 (rows in the frame): one sort serves the three."""
     return panel.withColumns({"adv_20": F.avg("dollar_volume").over(by_ticker(20)), "adv_60": F.avg("dollar_volume").over(by_ticker(60)), "obs_60": F.count(F.lit(1)).over(by_ticker(60))})

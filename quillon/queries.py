@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import panel as P
 from .functions.scalars import impact_bps, normal_name, redact_column, rounded, trade_allowed
 from .operators import asof, dedup, features, incremental, labels, policy, portfolio, reports
-from .operators.universe import policy_universe, rolling_liquidity, universe
+from .operators.universe import few, policy_universe, rolling_liquidity, universe
 from .plans.audit import KEYED
 from .sources.registry import kept_tables
 
@@ -102,7 +102,7 @@ SELECT ticker, date, closeadj, category FROM a WHERE closeadj >= 5 AND adv_20 >=
 )
 def _policy_universe(spark, d):
     meta = dedup.latest_metadata(P.tickers(spark, d)).select("ticker", "category")
-    df = P.prices(spark, d).join(F.broadcast(meta), "ticker").withColumns({"dollar_volume": F.col("closeadj") * F.col("volume"), "market_cap": F.col("closeadj") * 1000})
+    df = P.prices(spark, d).join(few(meta), "ticker").withColumns({"dollar_volume": F.col("closeadj") * F.col("volume"), "market_cap": F.col("closeadj") * 1000})
     return policy_universe(rolling_liquidity(df), min_adv=30_000, min_cap=100_000).select("ticker", "date", "closeadj", "category")
 
 
@@ -626,9 +626,9 @@ def _entity_normalize(spark, d):
     return P.read(spark, d, "customer").select("c_custkey", normal_name(F.concat("c_name", F.lit(", "), "c_mktsegment", F.lit(" Holdings Co. Inc"))).alias("name"))
 
 
-_REC = "rec AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'T' || (p_partkey % 40) END AS ticker, CASE WHEN p_partkey % 5 = 1 THEN 'C' || (p_partkey % 40) END AS cik, p_name || CASE p_partkey % 3 WHEN 0 THEN ' Inc.' WHEN 1 THEN 's' ELSE ' works' END AS name FROM part), com AS (SELECT p_partkey AS id, 'T' || p_partkey AS ticker, 'C' || p_partkey AS cik, p_name || ' Corp' AS name FROM part WHERE p_partkey < 30)"
-_FUZZY = f"""fz0 AS (SELECT a.id AS left_id, b.id AS right_id, {_NORM.format("a.name")} AS na, {_NORM.format("b.name")} AS nb FROM {{left}} a, com b),
-fz1 AS (SELECT *, 1 - levenshtein(na, nb) / greatest(length(na), length(nb), 1) AS score FROM fz0 WHERE split_part(na, ' ', 1) = split_part(nb, ' ', 1) AND abs(length(na) - length(nb)) <= (1 - 0.8) * greatest(length(na), length(nb))),
+_REC = "rec AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'T' || (p_partkey % 40) END AS ticker, CASE WHEN p_partkey % 5 = 1 THEN 'C' || (p_partkey % 40) END AS cik, p_name || CASE p_partkey % 3 WHEN 0 THEN ' Inc.' WHEN 1 THEN 's' ELSE ' works' END AS name FROM part), com AS (SELECT p_partkey AS id, 'T' || p_partkey AS ticker, 'C' || p_partkey AS cik, p_name || ' Corp' AS name FROM part)"
+_FUZZY = f"""fa AS (SELECT id AS left_id, {_NORM.format("name")} AS na FROM {{left}}), fb AS (SELECT id AS right_id, {_NORM.format("name")} AS nb FROM com),
+fz1 AS (SELECT *, 1 - levenshtein(na, nb) / greatest(length(na), length(nb), 1) AS score FROM fa JOIN fb ON split_part(na, ' ', 1) = split_part(nb, ' ', 1) AND abs(length(na) - length(nb)) <= (1 - 0.8) * greatest(length(na), length(nb))),
 fz AS (SELECT left_id, right_id, score FROM fz1 WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) = 1)"""
 
 
@@ -637,7 +637,7 @@ def _records(spark, d):
     part = P.read(spark, d, "part")
     tail = F.element_at(F.array(F.lit(" Inc."), F.lit("s"), F.lit(" works")), (k % 3 + 1).cast("int"))
     rec = part.select(k.alias("id"), F.when(k % 5 == 0, F.concat(F.lit("T"), k % 40)).alias("ticker"), F.when(k % 5 == 1, F.concat(F.lit("C"), k % 40)).alias("cik"), F.concat("p_name", tail).alias("name"))
-    com = part.where("p_partkey < 30").select(k.alias("id"), F.concat(F.lit("T"), k).alias("ticker"), F.concat(F.lit("C"), k).alias("cik"), F.concat("p_name", F.lit(" Corp")).alias("name"))
+    com = part.select(k.alias("id"), F.concat(F.lit("T"), k).alias("ticker"), F.concat(F.lit("C"), k).alias("cik"), F.concat("p_name", F.lit(" Corp")).alias("name"))
     return rec, com
 
 
@@ -766,4 +766,4 @@ def _simulate(spark, d):
     meta = dedup.latest_metadata(P.tickers(spark, d)).select("ticker", F.coalesce("sector", F.lit("UNKNOWN")).alias("sector"))
     month = F.last_day("date")
     bands = portfolio.rank_bands(_scores(spark, d).withColumn("m", month).groupBy("ticker", "m").agg(F.max_by("score", "date").alias("score")).select("ticker", F.col("m").alias("date"), "score"))
-    return portfolio.simulate(bands.join(F.broadcast(meta), "ticker").select(F.lit("all").alias("portfolio"), "ticker", "date", "sector", "pct"))
+    return portfolio.simulate(bands.join(few(meta), "ticker").select(F.lit("all").alias("portfolio"), "ticker", "date", "sector", "pct"))
