@@ -35,7 +35,6 @@ _END_TOKEN = np.uint64(0x5851F42D4C957F2D)
 _BLOCK = 2 << 20
 #: A task holds so many counted keys before it adds them up; those that are still more than half of it are sent on.
 HELD = 3_000_000
-_KEY = (1 << 8 * (ORDER + 1)) - 1
 
 
 def held_out() -> Column:
