@@ -4,8 +4,9 @@ A rollup is a folder of committed batches. A batch brings rows (doc_id, version,
 op ``insert`` / ``revise`` (the document now counts so much) or ``delete``. Against the ledger's last state of each
 (doc_id, version) it becomes signed deltas: what the document counted before is taken away under its old source and
 language, what it counts now is added. A batch holds its summed deltas and its ledger rows; both appear with one rename
-of its folder, so a batch is committed wholly or not at all, and committing an id again changes nothing. Totals are the
-sum of all batches' deltas, a few rows a batch; nothing counted before is read again.
+of its folder, so a batch is committed wholly or not at all, and committing an id again changes nothing. A lock file lets
+one writer commit at a time; one that a killed driver left must be removed by hand. Totals are the sum of all batches'
+deltas, a few rows a batch; no text counted before is read again.
 
 Defined cases: null text counts no tokens; rows without a doc_id cannot be revised: each is its own insert, and other ops
 on them are ignored; of rows with one key in a batch the last in (op, source, lang, n_tokens, n_chars) order holds, with
@@ -19,12 +20,14 @@ import os
 import uuid
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import _scratch, checkpoint_dir, table
 
-#: Folder of public vocabularies, and the vocabulary counted by; see token_counts().
+#: Folder of public vocabularies on the driver, from which executors get their copy, and the vocabulary counted by.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
 VERSION = "byte_bpe_50k"
 #: Words, numbers, runs of signs and of white space, as public byte-level vocabularies of this family are split.
@@ -33,9 +36,12 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 _encoders: dict[str, object] = {}
 
 
-def encoder(version: str, folder: str):
+def encoder(version: str, folder: str | None = None):
+    """The encoding of a vocabulary file in ``folder``, or, without one, of the file that Spark handed to this executor."""
     import tiktoken
 
+    folder = folder or SparkFiles.getRootDirectory()
+
     if (folder, version) not in _encoders:
         with open(f"{folder}/{version}.tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -46,8 +52,10 @@ def encoder(version: str, folder: str):
 def token_counts(docs: DataFrame, version: str = VERSION, folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, version, source, lang, n_tokens, n_chars, op = insert, of each row of docs(doc_id, source, lang, text)."""
 
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{version}.tiktoken")
+
     def run(batches):
-        encode = encoder(version, folder).encode_ordinary
+        encode = encoder(version).encode_ordinary
         for batch in batches:
             texts = [t or "" for t in batch.column(3).to_pylist()]
             n = [len(encode(t)) for t in texts]
@@ -57,12 +65,17 @@ def token_counts(docs: DataFrame, version: str = VERSION, folder: str = TOKENIZE
     return rows.withColumns({"version": F.lit(version), "op": F.lit("insert")})
 
 
+def _parse(schema: str) -> list[StructField]:
+    return StructType.fromDDL(schema).fields
+
+
 class Rollup:
     """Committed batches below ``path``, a folder that all executors share."""
 
     _KEY = ["doc_id", "version"]
     _STATE = ["source", "lang", "n_tokens", "n_chars", "live"]
     _DELTA = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
+    _CHANGES = "doc_id long, version string, source string, lang string, n_tokens long, n_chars long, op string"
     _LEDGER = "doc_id long, version string, source string, lang string, n_tokens long, n_chars long, live boolean, seq long"
 
     def __init__(self, spark: SparkSession, path: str):
@@ -83,14 +96,27 @@ class Rollup:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Applies a batch; False if its id is committed already."""
+        self._fs.mkdirs(self._p(self.path))
+        lock = self._p(f"{self.path}/lock")
+        if not self._fs.createNewFile(lock):
+            raise RuntimeError(f"another commit holds {lock}")
+        try:
+            return self._commit(batch_id, changes)
+        finally:
+            self._fs.delete(lock, False)
+
+    def _commit(self, batch_id: str, changes: DataFrame) -> bool:
         if any(b.split("-", 2)[2] == batch_id for b in self.batches()):
             return False
         seq = len(self.batches())
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        # What is counted is counted once, and read from there by both of its uses.
+        changes.select(*(F.col(f.name).cast(f.dataType) for f in _parse(self._CHANGES))).write.parquet(f"{staged}/changes")
+        changes = self.spark.read.schema(self._CHANGES).parquet(f"{staged}/changes")
         op = F.when(F.col("op") == "delete", 0).when(F.col("op") == "insert", 1).otherwise(2)
         rows = changes.select("doc_id", "version", op.alias("o"), "source", "lang", "n_tokens", "n_chars")
         keyed = rows.where("doc_id is not null").groupBy(*self._KEY).agg(F.max(F.struct("o", "source", "lang", "n_tokens", "n_chars")).alias("x"))
         new = keyed.select(*self._KEY, "x.source", "x.lang", "x.n_tokens", "x.n_chars", (F.col("x.o") > 0).alias("live"))
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         new.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{staged}/ledger")
         new = self.spark.read.schema(self._LEDGER).parquet(f"{staged}/ledger")
         now = new.where("live").select("source", "lang", "version", F.lit(1).alias("n_docs"), "n_tokens", "n_chars")
@@ -99,6 +125,7 @@ class Rollup:
             now = now.unionByName(last.select("x.source", "x.lang", "version", F.lit(-1).alias("n_docs"), (-F.col("x.n_tokens")).alias("n_tokens"), (-F.col("x.n_chars")).alias("n_chars")))
         now = now.unionByName(rows.where("doc_id is null and o > 0").select("source", "lang", "version", F.lit(1).alias("n_docs"), "n_tokens", "n_chars"))
         self._sum(now).write.parquet(f"{staged}/delta")
+        self._fs.delete(self._p(f"{staged}/changes"), True)
         return self._fs.rename(self._p(staged), self._p(f"{self.path}/batch-{seq:08d}-{batch_id}"))
 
     @staticmethod
@@ -111,11 +138,22 @@ class Rollup:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents committed as one batch, once more to no effect, and the rollup's totals."""
+    """The totals of all documents, brought about by signed deltas.
+
+    A first batch inserts every document with an estimate of its tokens (a quarter of its characters), and once more under
+    a tokenizer version ``chars``. A second one revises every estimate to the tokenizer's count and deletes what counted
+    under ``chars``. Both are committed again, to no effect.
+    """
     path = f"{checkpoint_dir(spark)}/quillon-rollup-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     rollup = Rollup(spark, path)
-    counts = token_counts(table(spark, sf_dir, "documents"))
-    rollup.commit("documents", counts)
-    rollup.commit("documents", counts)
+    docs = table(spark, sf_dir, "documents")
+    chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    plain = docs.where("doc_id is not null").select("doc_id", "source", "lang", chars.alias("n_chars"))
+    estimated = plain.withColumns({"version": F.lit(VERSION), "n_tokens": F.floor(F.col("n_chars") / 4), "op": F.lit("insert")})
+    by_chars = plain.withColumns({"version": F.lit("chars"), "n_tokens": F.col("n_chars"), "op": F.lit("insert")})
+    counted = token_counts(docs).withColumn("op", F.when(F.col("doc_id").isNull(), "insert").otherwise("revise"))
+    batches = [("estimate", estimated.unionByName(by_chars)), ("count", counted.unionByName(by_chars.withColumn("op", F.lit("delete"))))]
+    for name, changes in batches * 2:
+        rollup.commit(name, changes)
     return rollup.totals()
