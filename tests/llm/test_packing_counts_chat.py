@@ -180,6 +180,60 @@ def test_tool_calls(spark):
     assert json.loads(by[1, 0].json) == {"content": "hi \"there\"\n", "role": "user"}
 
 
+def _slow_chat(turns):
+    """(conv, turn) -> (status, anchor, level) of turns with one call or result each, by walking each dependency."""
+    call, answers = {}, {}
+    for conv, turn, _, text in turns:
+        x = json.loads(text)
+        for c in x.get("tool_calls", []):
+            if (conv, c["id"]) not in call or call[conv, c["id"]][0] > turn:
+                call[conv, c["id"]] = (turn, c)
+        if "tool_call_id" in x:
+            key = (conv, x["tool_call_id"])
+            answers[key] = max(turn, answers.get(key, turn))
+
+    def place(key, above=()):
+        """(anchor, level) of a call, or None if it leads to a cycle."""
+        if key in above:
+            return None
+        turn, c = call[key]
+        deps = [place((key[0], d), (*above, key)) for d in c.get("depends_on", []) if (key[0], d) in call]
+        if None in deps:
+            return None
+        ends = [max(p[0], answers.get((key[0], d), p[0])) for p, d in zip(deps, [d for d in c.get("depends_on", []) if (key[0], d) in call], strict=True)]
+        return max([turn, *ends]), max([-1, *(p[1] for p in deps)]) + 1
+
+    out = {}
+    for conv, turn, _, text in turns:
+        x = json.loads(text)
+        key = (conv, x["tool_call_id"] if "tool_call_id" in x else x["tool_calls"][0]["id"])
+        if "tool_call_id" in x:
+            at = place(key) if key in call else None
+            out[conv, turn] = ("result", max(turn, at[0] if at else call[key][0]), at[1] if at else 0) if key in call else ("orphan_result", turn, 0)
+        else:
+            first = call[key][0] == turn
+            at = place(key) if first else None
+            out[conv, turn] = ("cycle", turn, 0) if first and not at else ("linked" if first and key in answers else "unanswered", at[0] if at else turn, at[1] if at else 0)
+    return out
+
+
+def test_linking_equals_brute_force_on_random_graphs(spark):
+    r = random.Random(12)
+    turns = []
+    for conv in range(12):
+        names = [f"c{k}" for k in range(r.randrange(1, 9))]
+        order = [("call", n) for n in names] + [("result", r.choice([*names, "ghost"])) for _ in range(r.randrange(8))]
+        r.shuffle(order)
+        for turn, (kind, n) in enumerate(order):
+            deps = [x for x in names if x != n and r.random() < 0.25]
+            text = _call((n, "add", {"a": 1}, deps)) if kind == "call" else json.dumps({"tool_call_id": n, "content": turn})
+            turns.append((conv, turn, "assistant" if kind == "call" else "tool", text))
+    turns += [(90, k, "assistant", _call((f"d{k}", "add", {"a": 1}, [f"d{k + 1}"] if k < 24 else None))) for k in range(25)]  # a long chain, last first
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(x.conv_id, x.turn): (x.status, x.anchor, x.level) for x in C.formatted(df, _tools(spark)).collect()}
+    assert got == _slow_chat(turns)
+
+
 def test_chat_without_calls_and_empty(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert C.formatted(spark.createDataFrame([], schema), _tools(spark)).count() == 0

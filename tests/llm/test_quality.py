@@ -1,12 +1,15 @@
 import collections
+import math
 import random
 import re
+import struct
 import zlib
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from quillon.llm import quality_classifier as C
 from quillon.llm import quality_rules as R
@@ -54,6 +57,41 @@ def test_rules_ratio_separates(spark, docs_of):
     assert R.judged(docs_of([]), ratio).count() == 0
 
 
+def _bucket(word, end=False):
+    h = xxhash.xxh64(word[-3:].encode() if end else word.encode(), seed=42).intdigest()
+    if end:
+        h = xxhash.xxh64(struct.pack("<i", 1), seed=h).intdigest()
+    return (h - (1 << 64) if h >> 63 else h) % R.BUCKETS + (R.BUCKETS if end else 0)
+
+
+def test_rules_score_equals_brute_force(spark, docs_of):
+    """Both multinomials counted gram by gram, every document's score and verdict from them."""
+    r = random.Random(8)
+    make = lambda letters: " ".join(r.choice(letters) + r.choice(["ing", "ER", "é", ""]) for _ in range(r.randrange(8, 60)))
+    rows = [(k, make(["stone", "river", "lamp"] if k % 3 else ["$$$", "BUY", "lamp"])) for k in range(60)] + [(None, "stone river lamp " * 5), (7, "a repeated id " * 4), (99, None)]
+    trusted = {k for k in range(60) if k % 3 and k % 2}
+    raw, target = collections.Counter(), collections.Counter()
+    grams = {n: [g for w in (t or "").split() for g in (_bucket(w), _bucket(w, True))] for n, (_, t) in enumerate(rows)}
+    for n, (i, _) in enumerate(rows):
+        raw.update(grams[n])
+        target.update(grams[n] if i in trusted else [])
+    size = lambda c, half: sum(v for g, v in c.items() if g // R.BUCKETS == half)
+    n_raw, n_target = [size(raw, h) for h in (0, 1)], [size(target, h) for h in (0, 1)]
+
+    def ratio(g):
+        h = g // R.BUCKETS
+        scale = n_target[h] / n_raw[h]
+        return math.log((target[g] + R.PRIOR * scale) / (n_target[h] + R.PRIOR * scale * R.BUCKETS)) - math.log((raw[g] + R.PRIOR) / (n_raw[h] + R.PRIOR * R.BUCKETS))
+
+    docs = docs_of(rows)
+    got = R.judged(docs, R.ratios(docs, spark.createDataFrame([(k,) for k in trusted], "doc_id long"))).collect()
+    want = []
+    for n, (i, t) in enumerate(rows):
+        score = float(np.mean([ratio(g) for g in grams[n]])) if grams[n] else 0.0
+        want.append((i if i is not None else -1, round(score, 4), not base(t)[-1] and score >= R.LEAST))
+    assert sorted((x.doc_id if x.doc_id is not None else -1, round(x.score, 4), x.kept) for x in got) == sorted(want)
+
+
 def test_rules_whole_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     got = {x.doc_id: x for x in R.op9_quality_rules(spark, sf_dir).collect()}
