@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import panel as P
 from .functions.scalars import impact_bps, normal_name, redact_column, rounded, trade_allowed
-from .operators import asof, dedup, features, incremental, labels, policy, portfolio, reports
+from .operators import asof, dedup, features, incremental, labels, policy, portfolio, reports, signals
 from .operators.universe import few, policy_universe, rolling_liquidity, universe
 from .plans.audit import KEYED
 from .sources.registry import kept_tables
@@ -423,6 +423,17 @@ def _label_future_buy(spark, d):
     return labels.future_event(px, buys, labels.trading_calendar(P.sep(spark, d)), 60)
 
 
+@query(
+    "label_future_sell",
+    f"""WITH {_PX}, {_CAL}, ev AS (SELECT DISTINCT ticker, (SELECT min(idx) FROM cal WHERE trading_date >= d) AS e FROM (SELECT CAST(o_custkey AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 3 = 0))
+SELECT px.ticker, px.date, EXISTS (SELECT 1 FROM ev WHERE ev.ticker = px.ticker AND ev.e > cal.idx AND ev.e <= cal.idx + 60) AS future_sell FROM px JOIN cal ON px.date = cal.trading_date""",
+)
+def _label_future_sell(spark, d):
+    px = P.prices(spark, d).select("ticker", "date")
+    sells = P.trades(spark, d).where("side = 'sell'").select("ticker", F.col("transaction_date").alias("date"))
+    return labels.future_event(px, sells, labels.trading_calendar(P.sep(spark, d)), 60, "future_sell")
+
+
 @query(
     "split_purge",
     f"WITH {_PX}, {_CAL} SELECT px.ticker, px.date, CASE WHEN idx <= 1500 THEN 'train' WHEN idx > 1521 AND idx <= 1900 THEN 'validation' WHEN idx > 1921 AND idx <= 2400 THEN 'test' END AS split FROM px JOIN cal ON px.date = cal.trading_date",
@@ -667,6 +678,80 @@ def _entity_review_queue(spark, d):
     return policy.review_queue(rec, policy.cascade(rec, com))
 
 
+# ------------------------------------------------------------------------------------- confirmation, flows, disclosure
+
+_RSI = "rsi0 AS (SELECT ticker, date, closeadj - lag(closeadj) OVER (PARTITION BY ticker ORDER BY date) AS c FROM px), rsi1 AS (SELECT ticker, date, count(c) OVER k AS n, avg(CASE WHEN c IS NOT NULL THEN greatest(c, 0.0) END) OVER k AS g, avg(CASE WHEN c IS NOT NULL THEN greatest(-c, 0.0) END) OVER k AS l FROM rsi0 WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS 13 PRECEDING)), rsi2 AS (SELECT ticker, date, CASE WHEN n = 14 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS rsi_14 FROM rsi1)"
+
+
+@query(
+    "market_confirmation",
+    f"""WITH {_RET}, {_META}, {_RSI}, a AS (SELECT ret.ticker, ret.date, rsi_14, sector, {", ".join(f"closeadj / lag(closeadj, {k}) OVER t - 1 AS return_{k}d" for k in (20, 60, 90))},
+  CASE WHEN count(r) OVER (PARTITION BY ret.ticker ORDER BY ret.date ROWS 19 PRECEDING) = 20 THEN stddev_samp(r) OVER (PARTITION BY ret.ticker ORDER BY ret.date ROWS 19 PRECEDING) * sqrt(252) END AS volatility_20d,
+  CASE WHEN count(volume) OVER (PARTITION BY ret.ticker ORDER BY ret.date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) = 20 THEN volume / avg(volume) OVER (PARTITION BY ret.ticker ORDER BY ret.date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS volume_surge_20d,
+  CASE WHEN count(rsi_14) OVER (PARTITION BY ret.ticker ORDER BY ret.date ROWS 19 PRECEDING) = 20 THEN (rsi_14 - min(rsi_14) OVER (PARTITION BY ret.ticker ORDER BY ret.date ROWS 19 PRECEDING)) / 100 END AS rsi_recovery_score
+  FROM ret JOIN rsi2 USING (ticker, date) LEFT JOIN (SELECT ticker, sector FROM meta) m ON m.ticker = ret.ticker WINDOW t AS (PARTITION BY ret.ticker ORDER BY ret.date)),
+b AS (SELECT *, CASE WHEN sector IS NOT NULL THEN avg(return_20d) OVER (PARTITION BY sector, date) END AS sector_return_20d FROM a)
+SELECT ticker, date, {", ".join(f"{_r(c)} AS {c}" for c in ("return_20d", "return_60d", "return_90d", "volatility_20d", "volume_surge_20d", "rsi_recovery_score", "sector_return_20d"))}, {_r("return_20d - sector_return_20d")} AS sector_excess_return_20d FROM b""",
+)
+def _market_confirmation(spark, d):
+    names = ["return_20d", "return_60d", "return_90d", "volatility_20d", "volume_surge_20d", "rsi_recovery_score", "sector_return_20d", "sector_excess_return_20d"]
+    df = signals.market_confirmation(P.prices(spark, d), dedup.latest_metadata(P.tickers(spark, d)))
+    return _round(df.select("ticker", "date", *names), dict.fromkeys(names, 6))
+
+
+_LOB = "lob AS (SELECT CAST(o_custkey % 100 AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS date, o_totalprice AS amount, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 END AS bill, (o_orderkey % 7) * 0.5 AS relevance, CAST(o_custkey % 5 AS VARCHAR) AS industry, o_orderkey % 13 AS member, o_orderpriority AS award_type FROM orders)"
+
+
+def _reports(spark, d):
+    k = F.col("o_orderkey")
+    return P.read(spark, d, "orders").select(
+        (F.col("o_custkey") % 100).cast("string").alias("ticker"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("amount"), F.when(k % 7 > 0, k % 7).alias("bill"),
+        ((k % 7) * 0.5).cast("double").alias("relevance"), (F.col("o_custkey") % 5).cast("string").alias("industry"), (k % 13).alias("member"), F.element_at(F.create_map(*[F.lit(x) for kind in _KINDS.items() for x in kind]), F.col("o_orderpriority")).alias("award_type"),
+    )
+
+
+_KINDS = {"1-URGENT": "definitive_contract", "2-HIGH": "indefinite_delivery", "3-MEDIUM": "grant", "5-LOW": "purchase_order"}
+_ROLL = lambda n, by="ticker": f"sum(x) OVER (PARTITION BY {by} ORDER BY date RANGE BETWEEN INTERVAL {n - 1} DAYS PRECEDING AND CURRENT ROW)"
+_YOY = f"{_ROLL(365)} / NULLIF(sum(x) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 729 DAYS PRECEDING AND INTERVAL 365 DAYS PRECEDING), 0) - 1"
+
+
+@query(
+    "lobbying_intensity",
+    f"""WITH {_LOB}, t AS (SELECT ticker, date, sum(amount) AS x FROM lob GROUP BY 1, 2),
+n AS (SELECT t.ticker, t.date, count(DISTINCT bill) AS c, coalesce(sum(DISTINCT relevance) FILTER (bill IS NOT NULL), 0) AS v FROM t JOIN lob ON lob.ticker = t.ticker AND lob.date <= t.date AND lob.date > t.date - 90 GROUP BY 1, 2)
+SELECT t.ticker, t.date, {_r(_ROLL(90, "t.ticker").replace("BY date", "BY t.date"), 3)} AS lobbying_spend_90d, {_r(_ROLL(365, "t.ticker").replace("BY date", "BY t.date"), 3)} AS lobbying_spend_365d, {_r(_YOY.replace("BY ticker", "BY t.ticker").replace("BY date", "BY t.date"))} AS lobbying_spend_yoy, c AS specific_bill_count_90d, CAST(v AS DOUBLE) AS lobbying_bill_relevance_score FROM t JOIN n USING (ticker, date)""",
+)
+def _lobbying(spark, d):
+    return _round(signals.lobbying_intensity(_reports(spark, d)), {"lobbying_spend_90d": 3, "lobbying_spend_365d": 3, "lobbying_spend_yoy": 6})
+
+
+@query(
+    "pac_flows",
+    f"""WITH {_LOB}, g AS (SELECT * FROM lob WHERE member < 6), t AS (SELECT ticker, date, any_value(industry) AS industry, sum(amount) AS x FROM g GROUP BY 1, 2), i0 AS (SELECT industry, date, sum(amount) AS x FROM g GROUP BY 1, 2),
+i AS (SELECT industry, date, {_ROLL(180, "industry")} AS y FROM i0), own AS (SELECT ticker, date, industry, {_ROLL(180)} AS x, {_YOY} AS yoy FROM t), h0 AS (SELECT ticker, member, sum(amount) AS a FROM lob GROUP BY 1, 2), h AS (SELECT ticker, sum(a * a) / pow(sum(a), 2) AS hhi FROM h0 GROUP BY 1)
+SELECT ticker, date, industry, {_r("own.x", 3)} AS company_pac_to_relevant_member_180d, {_r("i.y", 3)} AS industry_pac_to_relevant_committee_180d, {_r("yoy")} AS pac_flow_yoy_change, {_r("hhi")} AS donor_cluster_score FROM own JOIN i USING (industry, date) JOIN h USING (ticker)""",
+)
+def _pac(spark, d):
+    rows = _reports(spark, d)
+    df = signals.pac_flows(rows, rows.where("member < 6").select("member"))
+    return _round(df, {"company_pac_to_relevant_member_180d": 3, "industry_pac_to_relevant_committee_180d": 3, "pac_flow_yoy_change": 6, "donor_cluster_score": 6})
+
+
+@query(
+    "contract_type_score",
+    f"""WITH {_LOB}, t AS (SELECT ticker, date, sum(amount) AS a, sum(amount * CASE award_type WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.75 WHEN '3-MEDIUM' THEN 0.5 WHEN '5-LOW' THEN 0.25 ELSE 0 END) AS w FROM lob GROUP BY 1, 2)
+SELECT ticker, date, {_r(_ROLL(365).replace("sum(x)", "sum(w)") + " / " + _ROLL(365).replace("sum(x)", "sum(a)"))} AS contract_type_score FROM t""",
+)
+def _contract_type(spark, d):
+    return _round(signals.contract_type_score(_reports(spark, d)), {"contract_type_score": 6})
+
+
+@query("trade_invariant", "SELECT count(*) AS n_trades, count(*) FILTER (a > b) AS n_late, count(*) FILTER (p IS DISTINCT FROM b) AS n_misdated FROM (SELECT CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 50 - 2 AS INTEGER) AS b, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 50 - 2 AS INTEGER) AS p FROM orders)")
+def _trade_invariant(spark, d):
+    rows = P.read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("transaction_date"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 50 - 2).cast("int")).alias("disclosure_date"))
+    return signals.trade_violations(signals.with_public_date(rows, "congress_trades"))
+
+
 # -------------------------------------------------------------------------------------------- portfolio, metrics
 
 _SCORE = _PX + ", sc0 AS (SELECT ticker, date, round(closeadj / lag(closeadj, 5) OVER (PARTITION BY ticker ORDER BY date) - 1, 6) AS score, round(lead(closeadj, 5) OVER (PARTITION BY ticker ORDER BY date) / closeadj - 1, 6) AS target FROM px), sc AS (SELECT * FROM sc0 WHERE score IS NOT NULL)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 _DDL = {
     "congress_trades": "trade_id string, member_id string, member_name string, chamber string, party string, state string, ticker string, asset_name string, transaction_type string, transaction_date date, disclosure_date date, amount_min decimal(18,2), amount_max decimal(18,2), amount_mid decimal(18,2), source_url string, created_at timestamp_ntz",
     "bills": "bill_id string, congress int, bill_type string, bill_number string, title string, summary string, introduced_date date, policy_area string, status string, source_url string",
@@ -28,5 +30,13 @@ def schema(table: str) -> str:
     return _DDL[table]
 
 
+def read(spark: SparkSession, table: str, path: str, kind: str = "parquet") -> DataFrame:
+    """Files of a policy table: Parquet, JSON lines, or CSV with a header, in its schema. Rows that do not fit it fail."""
+    reader = spark.read.schema(_DDL[table])
+    if kind == "csv":
+        return reader.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    return (reader.option("mode", "FAILFAST") if kind == "json" else reader).format(kind).load(path)
+
+
 def tables() -> list[str]:
     return sorted(_DDL)

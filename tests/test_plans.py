@@ -4,6 +4,7 @@ import datetime as dt
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import Response, Source, zipped
 from quillon.functions.scalars import redact
@@ -312,3 +313,20 @@ def test_policy_schemas_parse(spark):
 
     for t in schemas.tables():
         assert spark.createDataFrame([], schemas.schema(t)).columns
+
+
+def test_policy_files_are_read_in_their_schema(spark, tmp_path):
+    from quillon.operators.signals import PUBLIC_DATES, stackable, with_public_date
+    from quillon.sources import schemas
+
+    rows = [("a1", "Acme", None, "ACM", "DoD", None, "grant", D(2031, 3, 1), None, 5, None, "x, \"y\""), ("a2", "Acme", None, "ACM", "DoD", None, "grant", D(2031, 3, 1), D(2031, 3, 9), 7, None, None)]
+    df = spark.createDataFrame(rows, schemas.schema("federal_awards").replace("decimal(18,2)", "int")).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    for kind in ("parquet", "json", "csv"):
+        df.write.format(kind).option("header", True).save(f"{tmp_path}/{kind}")
+        got = schemas.read(spark, "federal_awards", f"{tmp_path}/{kind}", kind)
+        assert got.schema.simpleString() == df.schema.simpleString() and got.count() == 2
+    assert {r.public_date for r in with_public_date(got, "federal_awards").collect()} == {D(2031, 3, 1), D(2031, 3, 9)}
+    assert all(set(v) <= set(spark.createDataFrame([], schemas.schema(k)).columns) for k, v in PUBLIC_DATES.items())
+    folds = spark.createDataFrame([(0, D(2030, 12, 31), D(2031, 4, 1), D(2031, 4, 30)), (1, D(2031, 1, 31), D(2031, 5, 1), D(2031, 5, 31))], "fold int, train_end date, test_start date, test_end date")
+    made = spark.createDataFrame([(0, D(2031, 4, 2)), (0, D(2030, 12, 1)), (0, D(2031, 5, 2)), (1, D(2031, 5, 2)), (7, D(2031, 5, 2))], "fold int, prediction_date date")
+    assert sorted(map(tuple, stackable(made, folds).collect())) == [(0, D(2031, 4, 2)), (1, D(2031, 5, 2))]
