@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,12 +75,17 @@ def summary(series: DataFrame, year: int = 252) -> DataFrame:
     return both.select("n_days", "mean", "volatility", (ratio(F.col("mean"), F.col("volatility")) * year**0.5).alias("sharpe"), (ratio(F.col("mean"), F.col("_d")) * year**0.5).alias("sortino"), "hit_rate", "max_drawdown", (F.pow("_e", F.lit(float(year)) / F.col("n_days")) - 1).alias("cagr"))
 
 
-def simulate(scores: DataFrame, holdings: int = 50, max_weight: float = 0.04, max_sector: float = 0.25, max_turnover: float = 0.5, buy: float = 0.95, hold: float = 0.80, sell: float = 0.60) -> DataFrame:
+def simulate(
+    scores: DataFrame, holdings: int = 50, max_weight: float = 0.04, max_sector: float = 0.25, max_turnover: float = 0.5, buy: float = 0.95, hold: float = 0.80, sell: float = 0.60,
+    min_holdings: int = 25, min_weight: float = 0.01,
+) -> DataFrame:
     """date, ticker, sector, weight, action, turnover of a portfolio rebalanced on each date of (portfolio, ticker, date, sector, pct).
 
     State passes from date to date, so a portfolio is one ordered group in Python; portfolios run in parallel. Holdings
-    stay while their rank is at least ``hold`` (or between sell and hold, without new buying); names below ``sell`` go
-    first, then the worst kept ones; purchases stop at the sector, count and turnover bounds.
+    stay while their rank is at least ``sell``; names below it go first, the worst before the others, as far as turnover
+    allows. Then names are bought by rank: those from ``buy`` on, and down to ``hold`` while fewer than ``min_holdings`` are
+    held. A purchase is as large as the position, sector, turnover and cash bounds leave room for, and is left out if that
+    is less than ``min_weight``.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -88,22 +95,23 @@ def simulate(scores: DataFrame, holdings: int = 50, max_weight: float = 0.04, ma
             pct, sector = dict(zip(now.ticker, now.pct, strict=True)), dict(zip(now.ticker, now.sector, strict=True))
             traded, actions = 0.0, {}
             for t in sorted(held, key=lambda t: (pct.get(t, -1.0), t)):
-                if pct.get(t, -1.0) < sell and traded + held[t] <= max_turnover:
+                if pct.get(t, -1.0) < sell and traded + held[t] <= max_turnover + 1e-12:
                     traded += held.pop(t)
                     actions[t] = "sell"
             weight: dict[str, float] = {}
             for t, w in held.items():
                 weight[sector.get(t, "")] = weight.get(sector.get(t, ""), 0.0) + w
             for t in now.ticker:
-                s = sector[t]
-                if pct[t] < buy:
+                if pct[t] < (buy if len(held) >= min_holdings else hold) or len(held) >= holdings:
                     break
-                if t in held or t in actions or len(held) >= holdings:
+                if t in held or t in actions:
                     continue
-                if traded + max_weight <= max_turnover + 1e-12 and weight.get(s, 0.0) + max_weight <= max_sector + 1e-12 and sum(held.values()) + max_weight <= 1 + 1e-12:
-                    held[t] = max_weight
-                    weight[s] = weight.get(s, 0.0) + max_weight
-                    traded += max_weight
+                s = sector[t]
+                room = round(min(max_weight, max_sector - weight.get(s, 0.0), max_turnover - traded, 1 - sum(held.values())), 12)
+                if room >= min_weight:
+                    held[t] = room
+                    weight[s] = weight.get(s, 0.0) + room
+                    traded += room
                     actions[t] = "buy"
             for t in sorted(set(held) | set(actions)):
                 out.append((part.portfolio.iloc[0], day, t, sector.get(t), held.get(t, 0.0), actions.get(t, "hold"), traded))
@@ -122,7 +130,17 @@ def promotion(candidate: dict, base: dict, max_turnover: float = 0.5) -> dict:
     return {"gates": gates, "rejected": sorted(k for k, v in gates.items() if not v), "promoted": all(gates.values())}
 
 
-def promotion_report(name: str, decision: dict) -> str:
-    """Markdown of a promotion decision."""
-    lines = [f"# Promotion: {name}", "", f"**{'PROMOTED' if decision['promoted'] else 'REJECTED'}**", "", "| gate | holds |", "| --- | --- |"]
-    return "\n".join(lines + [f"| {k} | {'yes' if v else 'no'} |" for k, v in decision["gates"].items()]) + "\n"
+def promotion_report(name: str, decision: dict, candidate: dict | None = None, base: dict | None = None, html: bool = False) -> str:
+    """A promotion decision in Markdown or HTML: the verdict, the gates, and both models' figures side by side."""
+    tables = [(("gate", "holds"), [(k, "yes" if v else "no") for k, v in decision["gates"].items()])]
+    if candidate is not None:
+        base = base or {}
+        tables.append((("figure", "candidate", "base"), [(k, str(v), str(base.get(k, ""))) for k, v in candidate.items()]))
+    verdict = "PROMOTED" if decision["promoted"] else "REJECTED"
+    if html:
+        row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{escape(x)}</{tag}>" for x in cells) + "</tr>"
+        body = "".join("<table>" + row(head, "th") + "".join(row(r, "td") for r in rows) + "</table>" for head, rows in tables)
+        return f"<h1>Promotion: {escape(name)}</h1><p><b>{verdict}</b></p>{body}\n"
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    parts = ["\n".join([line(head), line(["---"] * len(head)), *map(line, rows)]) for head, rows in tables]
+    return "\n\n".join([f"# Promotion: {name}", f"**{verdict}**", *parts]) + "\n"

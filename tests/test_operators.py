@@ -1,6 +1,7 @@
 """Edge cases of operators that the query comparison does not reach."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,54 @@ def test_factor_panel_has_every_column_once(spark):
     assert got.columns == ["ticker", "date", "closeadj", "volume", *columns] and len(columns) == 68 and got.count() == 110
     assert got.where("val_fcf_yield IS NOT NULL").count() == got.where("qual_roa IS NOT NULL").count() == 31
     assert reports.unclassified(got.columns, dict(features.buckets())) == ["closeadj", "volume"]
+
+
+def test_max_drawdown_equals_brute_force(spark):
+    r = random.Random(4)
+    rows = [(t, D(2020, 1, 1) + dt.timedelta(days=i), r.uniform(5, 50), 1.0) for t in "AB" for i in range(270)]
+    px = spark.createDataFrame(rows, "ticker string, date date, closeadj double, volume double")
+    got = {(x.ticker, x.date): x for x in features.max_drawdown(px, (21, 252)).collect()}
+    for t in "AB":
+        own = [(d, c) for k, d, c, _ in rows if k == t]
+        for i in range(0, len(own), 7):
+            for k in (21, 252):
+                window = [c for _, c in own[i - k + 1 : i + 1]] if i + 1 >= k else []
+                want = min((low / max(window[: j + 1]) - 1 for j, low in enumerate(window)), default=None)
+                value = got[t, own[i][0]][f"risk_max_drawdown_{k}d"]
+                assert value is None if want is None else value == pytest.approx(want)
+
+
+def test_simulator_keeps_every_rule(spark):
+    """A replay of what it did, date by date, against each bound and band."""
+    r = random.Random(2)
+    names = [(f"T{k:02d}", f"s{k % 6}") for k in range(60)]
+    rows = [("p", t, D(2021, m, 28), s, r.random()) for m in range(1, 13) for t, s in names if r.random() < 0.95]
+    df = spark.createDataFrame(rows, "portfolio string, ticker string, date date, sector string, pct double")
+    out = portfolio.simulate(df, min_holdings=12).collect()
+    pct = {(x[2], x[1]): x[4] for x in rows}
+    held = {}
+    for day in sorted({x.date for x in out}):
+        now = [x for x in out if x.date == day]
+        sold, bought = ({x.ticker: x for x in now if x.action == a} for a in ("sell", "buy"))
+        kept = {x.ticker: x.weight for x in now if x.action == "hold"}
+        assert set(kept) | set(sold) == set(held) and all(held[t] == w for t, w in kept.items())
+        assert all(pct.get((day, t), -1) < 0.6 and x.weight == 0 for t, x in sold.items())
+        assert all(0.01 <= x.weight <= 0.04 and pct[day, t] >= 0.8 for t, x in bought.items())
+        n = len(kept)
+        for t in sorted(bought, key=lambda t: -pct[day, t]):
+            assert pct[day, t] >= 0.95 or n < 12
+            n += 1
+        assert sum(held[t] for t in sold) + sum(x.weight for x in bought.values()) == pytest.approx(now[0].turnover) and now[0].turnover <= 0.5 + 1e-9
+        held = kept | {t: x.weight for t, x in bought.items()}
+        sectors = {}
+        for t, w in held.items():
+            sectors[dict(names)[t]] = sectors.get(dict(names)[t], 0) + w
+        assert len(held) <= 50 and sum(held.values()) <= 1 + 1e-9 and max(sectors.values()) <= 0.25 + 1e-9
+        assert not any(pct.get((day, t), -1) < 0.6 for t in kept) or now[0].turnover + min(kept.values()) > 0.5 - 0.04
+
+
+def test_report_formats():
+    good = dict(rank_ic=0.05, sharpe=1.2, net_return=0.1, max_drawdown=-0.1, turnover=0.3, leakage_violations=0, costs_included=True, out_of_sample=True)
+    made = portfolio.promotion(good, good)
+    text, page = portfolio.promotion_report("a<b", made, good, good), portfolio.promotion_report("a<b", made, good, good, html=True)
+    assert "| sharpe | 1.2 | 1.2 |" in text and "REJECTED" in text and "<td>sharpe</td><td>1.2</td>" in page and "a&lt;b" in page
