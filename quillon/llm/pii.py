@@ -217,7 +217,7 @@ def personal(docs: DataFrame) -> DataFrame:
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            counts, digest, text, spans = [[] for _ in KINDS], [], [], []
+            counts, digest, text, spans, n = [[] for _ in KINDS], [], [], [], []
             for own in batch.column(1).to_pylist():
                 base = sorted((x["start"], x["kind"], x["end"]) for x in own if x["strict"])
                 both = sorted(base + [(x["start"], x["kind"], x["end"]) for x in own if not x["strict"] and (x["kind"], x["bits"]) in chosen])
@@ -226,10 +226,11 @@ def personal(docs: DataFrame) -> DataFrame:
                 said = lambda part: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in part)
                 digest.append(hashlib.sha256(said(base).encode()).hexdigest())
                 text.append(said(both))
+                n.append(len(both))
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in both])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(text, pa.string()), pa.array(spans, kind)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "all_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(spans, kind)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "all_spans"])
 
-    out = materialize(rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, all_spans array<struct<start:int,kind:int,end:int>>"), "personal")
+    out = materialize(rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, all_spans array<struct<start:int,kind:int,end:int>>"), "personal")
     release(rows)
     return out
 
