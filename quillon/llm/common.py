@@ -7,6 +7,8 @@ a lost executor costs a re-read, not the whole lineage. They are removed when su
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import pickle
 import re
 import tempfile
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 #: A side of a join may be broadcast up to so many narrow rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Text is processed in runs of whole documents of about so many bytes, which bounds a worker's memory.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -88,7 +90,7 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of a few megabytes, so that a Python worker's memory does not depend on the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,14 +103,26 @@ def sample_of_labels(labels: DataFrame, condition, bound: int) -> DataFrame:
     return labels.where(condition & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which the worker, which waits for further tasks, gives freed memory back to the system."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return outer
+
+
 class Fitted:
     """A model that a task has fitted: a file in the scratch folder that Spark hands to every executor that asks for it.
 
     Neither the sample nor the model passes through the driver. ``load`` works in tasks and in the driver.
     """
 
-    _last: tuple[str, Any] = ("", None)
-
     def __init__(self, sample: DataFrame, fit: Callable[[pa.Table], Any], name: str):
         def run(batches):
             rows = [b for b in batches if b.num_rows]
@@ -117,7 +131,7 @@ class Fitted:
             for k in range(0, len(data), 4 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([data[k : k + (4 << 20)]], pa.binary())], ["at", "part"])
 
-        self.table = materialize(sample.mapInArrow(run, "at long, part binary").coalesce(1), name)
+        self.table = materialize(sample.mapInArrow(trimmed(run), "at long, part binary").coalesce(1), name)
         self.file, self.without = "", fit(None)  # no task may run for an empty sample
         for path in self.table.inputFiles():
             sample.sparkSession.sparkContext.addFile(path)
@@ -126,10 +140,8 @@ class Fitted:
     def load(self) -> Any:
         if not self.file:
             return self.without
-        if Fitted._last[0] != self.file:
-            parts = pq.read_table(SparkFiles.get(self.file)).sort_by("at").column("part")
-            Fitted._last = (self.file, pickle.loads(b"".join(x.as_py() for x in parts)) if len(parts) else self.without)
-        return Fitted._last[1]
+        parts = pq.read_table(SparkFiles.get(self.file)).sort_by("at").column("part")
+        return pickle.loads(b"".join(x.as_py() for x in parts)) if len(parts) else self.without
 
     def __getstate__(self) -> dict:
         return {"file": self.file, "without": self.without}

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, release, shingle_sets, small, table
+from .common import materialize, mix, release, shingle_sets, small, table, trimmed
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
@@ -141,7 +141,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 regs, fine = ([x.tobytes() for x in m] for m in (dense(registers_of(own, counts)), fine_of(own, counts)))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(counts), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "n_shingles", "set_id", "regs", "fine"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, regs binary, fine binary")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, n_shingles long, set_id binary, regs binary, fine binary")
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -161,7 +161,7 @@ def bands(reps: DataFrame) -> DataFrame:
             band = np.tile(np.arange(BANDS, dtype=np.int8), len(regs))
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(band), pa.array(key.view(np.int64).ravel())], ["rep", "band", "key"])
 
-    return reps.select("rep", "regs").mapInArrow(run, "rep long, band byte, key long")
+    return reps.select("rep", "regs").mapInArrow(trimmed(run), "rep long, band byte, key long")
 
 
 def _fits(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             keep = pa.array(np.flatnonzero(_fits(n_a, n_b) & (est >= THRESHOLD - DEVIATIONS * spread)))
             yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], ["a", "b"])
 
-    return both.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _sets(need: DataFrame, n_need: int, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def _sets(need: DataFrame, n_need: int, reps: DataFrame, docs: DataFrame) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in out], pa.binary()), pa.array(out, pa.binary()), batch.column(0)], ["set_id", "s", "doc_id"])
 
     texts = docs.select("doc_id", "text").join(small(asked.select("doc_id"), n_need), "doc_id", "left_semi")
-    made = texts.mapInArrow(run, "set_id binary, s binary, doc_id long").join(small(asked, n_need), ["set_id", "doc_id"])
+    made = texts.mapInArrow(trimmed(run), "set_id binary, s binary, doc_id long").join(small(asked, n_need), ["set_id", "doc_id"])
     out = materialize(made.select("rep", "s").dropDuplicates(["rep"]), "sets")
     release(asked)
     return out
@@ -218,7 +218,7 @@ def _confirmed(pairs: DataFrame, n_pairs: int, reps: DataFrame, docs: DataFrame)
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
 
-    found = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(judge, "a long, b long")
+    found = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(trimmed(judge), "a long, b long")
     out = materialize(found, "links")
     release(sets)
     return out
@@ -333,7 +333,7 @@ def possible(open_: DataFrame, reps: DataFrame) -> DataFrame:
         for whole in _buckets(batches, columns):
             yield from told(*whole)
 
-    return dealt.mapInArrow(run, "key long, chunk int, component long, rep long, own int, major boolean")
+    return dealt.mapInArrow(trimmed(run), "key long, chunk int, component long, rep long, own int, major boolean")
 
 
 def _buckets(batches, columns):
@@ -403,7 +403,7 @@ def joining(rows: DataFrame, sets: DataFrame) -> DataFrame:
                 lo = hi
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
 
 
 def link_components(docs: DataFrame) -> DataFrame:

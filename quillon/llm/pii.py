@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table
+from .common import materialize, release, table, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 PRIOR = ((4, 1, 1), (1, 1, 4))  # votes against, abstaining and in favour, of false and of true candidates
@@ -154,7 +154,7 @@ def found(docs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("strict", pa.bool_()), ("votes", pa.int32()), ("bits", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<start:int,kind:int,end:int,strict:boolean,votes:int,bits:int>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, spans array<struct<start:int,kind:int,end:int,strict:boolean,votes:int,bits:int>>")
 
 
 def reliabilities(ballots: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def personal(docs: DataFrame) -> DataFrame:
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in both])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(spans, kind)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "all_spans"])
 
-    out = materialize(rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, all_spans array<struct<start:int,kind:int,end:int>>"), "personal")
+    out = materialize(rows.mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, all_spans array<struct<start:int,kind:int,end:int>>"), "personal")
     release(rows)
     return out
 
@@ -271,7 +271,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[n] = pa.array([old if t is None else len(t) for t, old in zip(out, columns[n].to_pylist(), strict=True)], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Fitted, in_one_task, sample_of_labels, table, text_blocks
+from .common import _LOWER, BLOCK_BYTES, in_one_task, sample_of_labels, table, text_blocks, trimmed, Fitted
 
 TRAIN_ROWS = 2000
 ORDER, SHARED = 6, 3
@@ -66,7 +66,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams of the texts and their counts, a block of text at a time."""
-    return merged([np.unique(grams(d, o)[0], return_counts=True) for _, _, d, o in text_blocks(pa.array(texts, pa.string()), 1 << 20)])
+    return merged([np.unique(grams(d, o)[0], return_counts=True) for _, _, d, o in text_blocks(pa.array(texts, pa.string()), BLOCK_BYTES)])
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ class Judge:
         for k in range(FOLDS):
             model = KneserNey(*(merged([parts[j][c] for j in range(FOLDS) if j != k]) for c in (0, 1)))
             own = [t for t, f in zip(texts, fold, strict=True) if f == k]
-            x[fold == k] = np.concatenate([model.evidence(*grams(d, o)) for _, _, d, o in text_blocks(pa.array(own, pa.string()), 1 << 20)])
+            x[fold == k] = np.concatenate([model.evidence(*grams(d, o)) for _, _, d, o in text_blocks(pa.array(own, pa.string()), BLOCK_BYTES)])
         self.weights = _logistic(x, y, y.mean() if share is None else share)
         self.model = KneserNey(*(merged([parts[j][c] for j in range(FOLDS)]) for c in (0, 1)))
 
@@ -198,11 +198,11 @@ def score(docs: DataFrame, judge: Fitted) -> DataFrame:
     def run(batches):
         own = judge.load()
         for batch in batches:
-            for first, last, data, offsets in text_blocks(batch.column(2), 1 << 20):
+            for first, last, data, offsets in text_blocks(batch.column(2), BLOCK_BYTES):
                 p = own(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def clean(docs: DataFrame, judge: Fitted) -> DataFrame:
@@ -212,11 +212,11 @@ def clean(docs: DataFrame, judge: Fitted) -> DataFrame:
     def run(batches):
         own = judge.load()
         for batch in batches:
-            kept = [own(data, offsets) < 0.5 for _, _, data, offsets in text_blocks(batch.column(at), 1 << 20)]
+            kept = [own(data, offsets) < 0.5 for _, _, data, offsets in text_blocks(batch.column(at), BLOCK_BYTES)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
