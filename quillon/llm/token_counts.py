@@ -6,7 +6,8 @@ op ``insert`` / ``revise`` (the document now counts so much) or ``delete``. Agai
 language, what it counts now is added. A batch holds its summed deltas and its ledger rows; both appear with one rename
 of its folder, so a batch is committed wholly or not at all, and committing an id again changes nothing. A lock file lets
 one writer commit at a time; one that a killed driver left must be removed by hand. Totals are the sum of all batches'
-deltas, a few rows a batch; no text counted before is read again.
+deltas, a few rows a batch; no text counted before is read again. ``compact`` puts all batches into one base, which holds
+their totals, their ids and the last state of each document that counts.
 
 Defined cases: null text counts no tokens; rows without a doc_id cannot be revised: each is its own insert, and other ops
 on them are ignored; of rows with one key in a batch the last in (op, source, lang, n_tokens, n_chars) order holds, with
@@ -16,6 +17,7 @@ delete before insert before revise; a delete of an unknown key changes nothing;
 from __future__ import annotations
 
 import base64
+import contextlib
 import os
 import uuid
 
@@ -83,32 +85,77 @@ class Rollup:
         self._p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def batches(self) -> list[str]:
-        """Folders of the committed batches, in order of commit."""
+    def _folders(self, kind: str) -> list[str]:
         root = self._p(self.path)
         if not self._fs.exists(root):
             return []
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(root) if x.getPath().getName().startswith("batch-"))
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(root) if x.getPath().getName().startswith(kind))
+
+    def _base(self) -> tuple[str | None, int]:
+        """The folder of the last compaction and the number of the last batch in it."""
+        bases = self._folders("base-")
+        return (bases[-1], int(bases[-1].split("-")[1])) if bases else (None, -1)
+
+    def batches(self) -> list[str]:
+        """Folders of the batches committed since the last compaction, in order of commit."""
+        return [b for b in self._folders("batch-") if int(b.split("-")[1]) > self._base()[1]]
+
+    def _last(self) -> int:
+        return max([self._base()[1], *(int(b.split("-")[1]) for b in self.batches())])
+
+    def _committed(self, batch_id: str) -> bool:
+        base = self._base()[0]
+        if any(b.split("-", 2)[2] == batch_id for b in self.batches()):
+            return True
+        return base is not None and not self.spark.read.schema("id string").parquet(f"{self.path}/{base}/ids").where(F.col("id") == batch_id).isEmpty()
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{b}/{kind}" for b in self.batches()]
+        base = self._base()[0]
+        paths = [f"{self.path}/{b}/{kind}" for b in ([base] if base else []) + self.batches()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Applies a batch; False if its id is committed already."""
+    @contextlib.contextmanager
+    def _locked(self):
         self._fs.mkdirs(self._p(self.path))
         lock = self._p(f"{self.path}/lock")
         if not self._fs.createNewFile(lock):
             raise RuntimeError(f"another commit holds {lock}")
         try:
-            return self._commit(batch_id, changes)
+            yield
         finally:
             self._fs.delete(lock, False)
 
+    def commit(self, batch_id: str, changes: DataFrame) -> bool:
+        """Applies a batch; False if its id is committed already."""
+        with self._locked():
+            return self._commit(batch_id, changes)
+
+    def compact(self) -> None:
+        """Puts the base and all batches into one base, with one rename; then removes what it was made of.
+
+        The base holds the last state of the documents that count, so its size does not depend on how often they were
+        revised. What a killed driver has left of older folders is not read, and goes with the next compaction.
+        """
+        with self._locked():
+            if not self.batches():
+                return
+            old, seq, staged = self._folders("base-") + self._folders("batch-"), self._last(), f"{self.path}/staged-{uuid.uuid4().hex}"
+            state = self._read("ledger", self._LEDGER).groupBy(*self._KEY).agg(F.max_by(F.struct(*self._STATE, "seq"), "seq").alias("x")).where("x.live")
+            state.select(*self._KEY, "x.*").write.parquet(f"{staged}/ledger")
+            self.totals().write.parquet(f"{staged}/delta")
+            ids = self.spark.createDataFrame([(b.split("-", 2)[2],) for b in self.batches()], "id string")
+            if base := self._base()[0]:
+                ids = ids.unionByName(self.spark.read.schema("id string").parquet(f"{self.path}/{base}/ids"))
+            ids.coalesce(1).write.parquet(f"{staged}/ids")
+            if not self._fs.rename(self._p(staged), self._p(f"{self.path}/base-{seq:08d}")):
+                raise RuntimeError(f"{staged} could not be renamed")
+            for folder in old:
+                self._fs.delete(self._p(f"{self.path}/{folder}"), True)
+
     def _commit(self, batch_id: str, changes: DataFrame) -> bool:
-        if any(b.split("-", 2)[2] == batch_id for b in self.batches()):
+        if self._committed(batch_id):
             return False
-        seq = len(self.batches())
+        seq = self._last() + 1
         staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         # What is counted is counted once, and read from there by both of its uses.
         changes.select(*(F.col(f.name).cast(f.dataType) for f in _parse(self._CHANGES))).write.parquet(f"{staged}/changes")

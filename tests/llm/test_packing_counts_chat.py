@@ -124,6 +124,24 @@ def test_rollup_edges(spark, rollup):
     assert rollup.commit("empty", _batch(spark, [])) and len(rollup.batches()) == 2
 
 
+def test_compaction_keeps_totals_states_and_ids(spark, rollup, tmp_path):
+    """A rollup that is compacted after every second batch against one that never is."""
+    plain, r = N.Rollup(spark, f"file://{tmp_path}/plain"), random.Random(9)
+    rollup.compact()
+    for b in range(5):
+        rows = [(d, "v", r.choice("ab"), r.choice(["en", None]), r.randrange(1, 100), r.randrange(1, 500), r.choice(["insert", "revise", "delete"])) for d in r.sample(range(20), 9)]
+        for own in (rollup, plain):
+            assert own.commit(f"b-{b}", _batch(spark, rows))
+        if b % 2:
+            rollup.compact()
+            rollup.compact()
+            assert rollup.batches() == [] and not rollup.commit(f"b-{b}", _batch(spark, rows)) and not rollup.commit("b-0", _batch(spark, rows))
+            held = rollup._read("ledger", rollup._LEDGER).collect()
+            assert len({x.doc_id for x in held}) == len(held) and all(x.live for x in held)
+        assert _totals(rollup) == _totals(plain)
+    assert len([x for x in (tmp_path / "rollup").iterdir() if x.name.startswith(("base-", "batch-"))]) == 2
+
+
 def test_a_staged_batch_does_not_count(spark, rollup, tmp_path):
     rollup.commit("a", _batch(spark, [(1, "v", "a", "en", 5, 9, "insert")]))
     rollup.totals().write.parquet(f"{tmp_path}/rollup/staged-{uuid.uuid4().hex}/delta")
