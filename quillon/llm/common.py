@@ -29,6 +29,8 @@ BROADCAST_ROWS = 1_000_000
 BLOCK_BYTES = 1 << 19
 
 _scratch: list[tuple[SparkSession, str]] = []
+#: Scratch tables whose files Spark hands out: an executor that starts later asks for them, so they stay until the exit.
+_handed: set[str] = set()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -87,6 +89,42 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def without(docs: DataFrame, rejected: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``rejected`` does not name; each row has its own verdict, whatever its doc_id.
+
+    ``rejected`` gets (doc_id, text) and returns the doc_ids that go. Rows without a doc_id, or with one that other rows
+    have too, are written to a table of their own and named by their place in it, counted down from the largest long, so
+    that of a group a row with an id of its own stays first. All other rows keep their doc_id and are not copied.
+    """
+    shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    n, nulls = shared.count(), docs.where("doc_id is null").count()
+    key = f"row_{uuid.uuid4().hex}"
+    own = docs.withColumn(key, F.col("doc_id").cast("long"))
+    if n or nulls:
+        shared = materialize(shared, "shared-ids")
+        named = docs.where("doc_id is not null")
+        odd = docs.where("doc_id is null").unionByName(named.join(small(shared, n), "doc_id", "left_semi").select(docs.columns))
+        odd = materialize(odd.withColumn(key, F.lit((1 << 63) - 1) - F.monotonically_increasing_id()), "odd-rows")
+        own = own.where("doc_id is not null").join(small(shared, n), "doc_id", "left_anti").select(*docs.columns, key).unionByName(odd)
+    gone = rejected(own.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key)).distinct()
+    return own.join(small(gone, gone.count()), key, "left_anti").select(docs.columns)
+
+
+@contextlib.contextmanager
+def scratch_until_written() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, ``keep`` names the table that stays; all other scratch tables made within it go at its end, but for models."""
+    before, kept = {path for _, path in _scratch}, set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._quillon_path)
+        return df
+
+    yield keep
+    for spark, path in [x for x in _scratch if x[1] not in before | kept | _handed]:
+        _delete(spark, path)
+        _scratch.remove((spark, path))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of a few megabytes, so that a Python worker's memory does not depend on the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -132,6 +170,7 @@ class Fitted:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([data[k : k + (4 << 20)]], pa.binary())], ["at", "part"])
 
         self.table = materialize(sample.mapInArrow(trimmed(run), "at long, part binary").coalesce(1), name)
+        _handed.add(self.table._quillon_path)
         self.file, self.without = "", fit(None)  # no task may run for an empty sample
         for path in self.table.inputFiles():
             sample.sparkSession.sparkContext.addFile(path)

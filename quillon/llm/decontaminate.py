@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, release, small, table
+from .common import BROADCAST_ROWS, materialize, release, small, table, without
 from .native import shingles, words
 
 CONTAINMENT = 75  # percent of an item's distinct shingles
@@ -78,9 +78,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(small(found, found.count()), "doc_id", "left_anti").select(docs.columns)
+    """Drops the rows whose text holds a benchmark item; rows without an id, or with a shared one, are told apart."""
+    return without(docs, lambda rows: contaminated(rows, table(spark, sf_dir, "benchmark")))
 
 
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

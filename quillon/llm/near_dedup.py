@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, release, shingle_sets, small, table, trimmed
+from .common import materialize, mix, release, shingle_sets, small, table, trimmed, without
 
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
@@ -459,6 +459,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component, the one with the smallest id; null ids and empty texts stay."""
-    gone = link_components(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each component: that with the smallest doc_id of its own, else any of those without one.
+
+    Rows without an id, and rows that share one, are told apart; empty texts stay.
+    """
+    return without(docs, lambda rows: link_components(rows).where("not kept"))

@@ -44,6 +44,14 @@ def test_stage(spark, docs_of, sf_dir):
     assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["2", "None"]
 
 
+def test_stage_judges_rows_not_ids(spark, docs_of, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    df = docs_of([(None, item), (None, "clean words only in this one"), (None, None), (7, f"before {item}"), (7, "clean too"), (7, "clean too"), (8, "and this")])
+    out = D.decontaminate_stage(spark, df, sf_dir)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (0, "clean words only in this one"), (7, "clean too"), (7, "clean too"), (8, "and this")]
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     w = D._sets(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", False)
     assert "Python" not in w._jdf.queryExecution().toString() and "Arrow" not in w._jdf.queryExecution().toString()

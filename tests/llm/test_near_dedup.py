@@ -117,6 +117,15 @@ def test_stage_keeps_columns_and_one_of_each_group(spark, docs_of):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
 
 
+def test_stage_judges_rows_not_ids(spark, docs_of):
+    """Rows without an id, or with a shared one: one of each group stays, that with an id of its own if there is one."""
+    a, b, c, d = "a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"
+    df = docs_of([(None, a), (5, a), (9, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, c), (None, None), (None, ""), (7, " ")])
+    out = N.near_dedup_stage(spark, df, "")
+    got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert out.columns == df.columns and got == [(0, ""), (0, ""), (0, b), (5, a), (7, " "), (7, d), (8, c)]
+
+
 @pytest.mark.parametrize("text", ["", "word", "a b c d e f g"])
 def test_registers_of_few_shingles(text):
     import pyarrow as pa
