@@ -1,15 +1,16 @@
 """A training-corpus pipeline: five stages, each written as Parquet and read again before the next.
 
-Defined cases: null and empty texts are never toxic, duplicate, contaminated or personal, and are packed; rows without a
-doc_id have a verdict of their own in toxicity and pass the stages that decide by doc_id (near-dedup, decontamination);
-rows that share a doc_id go together in those two; an empty table gives an empty result; extra columns stay up to packing.
+Defined cases: null and empty texts are never toxic, duplicate, contaminated or personal, and are packed; each row has a
+verdict of its own in every stage, whether it has a doc_id, shares one with other rows or has none; of a group of near
+duplicates the row with the smallest id of its own stays, else one of the others; an empty table gives an empty result;
+extra columns stay up to packing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import materialize, release, table
+from quillon.llm.common import materialize, release, scratch_until_written, table
 from quillon.llm.decontaminate import decontaminate_stage
 from quillon.llm.near_dedup import near_dedup_stage
 from quillon.llm.packing import packing_stage
@@ -33,6 +34,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_until_written() as keep:
+            before, docs = docs, keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
         release(before)
     return docs
