@@ -26,17 +26,20 @@ def committee_relevance(assignments: DataFrame, overlaps: DataFrame, dates: Data
 
     assignments: member, committee, role, start, end (null: still in force); overlaps: committee, company, overlap.
     Memberships become signed changes at their start and after their end, summed by committee and carried forward in
-    order, so that no date is joined with every membership.
+    order, so that no date is joined with every membership. One without a start, or that ends before it starts, is never
+    in force. A company whose committee is null has a row with 0.
     """
     weight = weight_of(F.col("role"), ROLE_WEIGHTS)
-    begin = assignments.select("committee", F.col("start").alias("date"), weight.alias("w"))
-    stop = assignments.where("end IS NOT NULL").select("committee", F.date_add("end", 1).alias("date"), (-weight).alias("w"))
-    committees = overlaps.select("committee").distinct()
-    asked = dates.select("date").distinct().join(F.broadcast(committees)).select("committee", "date", F.lit(0.0).alias("w"), F.lit(True).alias("asked"))
-    both = begin.unionByName(stop).withColumn("asked", F.lit(False)).unionByName(asked)
+    held = assignments.where("start IS NOT NULL AND (end IS NULL OR end >= start)")
+    begin = held.select("committee", F.col("start").alias("date"), weight.alias("w"))
+    stop = held.where("end IS NOT NULL").select("committee", F.date_add("end", 1).alias("date"), (-weight).alias("w"))
+    asked = dates.select("date").where("date IS NOT NULL").distinct()
+    grid = asked.join(F.broadcast(overlaps.select("committee").where("committee IS NOT NULL").distinct())).select("committee", "date", F.lit(0.0).alias("w"), F.lit(True).alias("asked"))
+    both = begin.unionByName(stop).groupBy("committee", "date").agg(F.sum("w").alias("w")).withColumn("asked", F.lit(False)).unionByName(grid)
     w = Window.partitionBy("committee").orderBy("date")
-    power = both.withColumn("power", F.sum("w").over(w)).where("asked").select("committee", "date", "power").distinct()
-    return power.join(overlaps, "committee").groupBy("date", "company").agg(F.sum(F.col("power") * F.col("overlap")).alias("committee_relevance_score"))
+    power = both.withColumn("power", F.sum("w").over(w)).where("asked").select("committee", "date", "power")
+    every = overlaps.join(F.broadcast(dates.select("date").distinct())).join(power, ["committee", "date"], "left")
+    return every.groupBy("date", "company").agg(F.sum(F.coalesce("power", F.lit(0.0)) * F.col("overlap")).alias("committee_relevance_score"))
 
 
 def concentration(awards: DataFrame, entity: str, part: str, amount: str) -> DataFrame:

@@ -137,6 +137,19 @@ def test_entities(spark):
     assert {(r.record_id, r.reason) for r in policy.review_queue(rec, got, 0.95).collect()} == {(5, "unmatched"), (6, "unmatched"), (4, "low_confidence")}
 
 
+def test_committee_relevance_counts_only_memberships_in_force(spark):
+    """Against a count by hand: ends before starts, no start, no end, one day, no committee, a committee without members."""
+    held = [("c1", "chair", D(2020, 1, 1), D(2020, 1, 31)), ("c1", "member", D(2020, 2, 1), D(2020, 1, 10)), ("c1", "member", None, None), ("c1", "member", D(2020, 1, 15), None), ("c1", "ranking_member", D(2020, 1, 20), D(2020, 1, 20)), (None, "chair", D(2020, 1, 1), None)]
+    over = [("c1", 1, 0.5), ("c2", 1, 1.0), ("c2", 2, 1.0), (None, 3, 1.0), ("c1", 4, None)]
+    days = [D(2019, 1, 1), D(2020, 1, 10), D(2020, 1, 20), D(2020, 1, 25), D(2020, 2, 1)]
+    weight = {"chair": 3.0, "ranking_member": 2.5, "member": 1.0}
+    power = {(d, c): sum(weight[r] for k, r, s, e in held if k == c and s and s <= d and (e is None or d <= e)) for d in days for c in ("c1", "c2")}
+    want = {(d, n): None if x is None else sum(power.get((d, c), 0) * y for c, m, y in over if m == n) for d in days for _, n, x in over}
+    a = spark.createDataFrame([(str(i), *x) for i, x in enumerate(held)], "member string, committee string, role string, start date, end date")
+    got = policy.committee_relevance(a, spark.createDataFrame(over, "committee string, company long, overlap double"), spark.createDataFrame([(d,) for d in days], "date date"))
+    assert {(x.date, x.company): x.committee_relevance_score for x in got.collect()} == want
+
+
 def test_simulator_respects_bounds(spark):
     rows = [("p", f"T{i:02d}", D(2026, m, 1), f"S{i % 3}", (i - m * 5) % 40 / 39) for m in range(1, 7) for i in range(40)]
     df = spark.createDataFrame(rows, "portfolio string, ticker string, date date, sector string, pct double")
