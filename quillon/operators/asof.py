@@ -22,6 +22,22 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, on: str, right_on:
     return out.select(*left.columns, *[F.when(known, F.col(f"_v.{c}")).alias(c) for c in values])
 
 
+def stacked(left: DataFrame, by: str, on: str, rights: dict[str, tuple[DataFrame, str, bool]]) -> DataFrame:
+    """left with a struct for each of ``rights`` (name: frame, its ``on``, exact): the latest row known, or the row of that very day.
+
+    All sides are stacked and carried forward in one sort. Sides dealt by ``by`` alone are not dealt again, where a join on
+    (by, on) would. A right side has one row for each (by, on).
+    """
+    both = left.withColumn("_side", F.lit(len(rights)))
+    for i, (name, (right, right_on, _)) in enumerate(rights.items()):
+        values = [c for c in right.columns if c not in (by, right_on)]
+        both = both.unionByName(right.where(f"`{by}` IS NOT NULL AND `{right_on}` IS NOT NULL").select(F.col(by), F.col(right_on).alias(on), F.struct(F.col(right_on).alias("_t"), *values).alias(name), F.lit(i).alias("_side")), allowMissingColumns=True)
+    w = Window.partitionBy(by).orderBy(F.col(on).asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({name: F.last(name, ignorenulls=True).over(w) for name in rights}).where(F.col("_side") == len(rights))
+    there = {name: F.col(f"{name}._t") == F.col(on) if exact else F.col(on).isNotNull() for name, (_, _, exact) in rights.items()}
+    return out.select(*left.columns, *[F.when(there[name], F.col(name)).alias(name) for name in rights])
+
+
 def trailing_sum(events: DataFrame, by: str, on: str, value: str, days: list[int], name: str) -> DataFrame:
     """by, on, {name}_{d}d: sums of value over the last d calendar days, the day itself included, at each day with events.
 

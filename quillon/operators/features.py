@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from .asof import asof_backward
+from .asof import asof_backward, stacked
 from .universe import by_ticker
 
 YEAR = 252**0.5
@@ -31,33 +31,44 @@ def returns(panel: DataFrame) -> DataFrame:
 
 
 def price(panel: DataFrame) -> DataFrame:
+    return panel.withColumns(_price())
+
+
+def _price() -> dict[str, Column]:
     c, w = F.col("closeadj"), by_ticker()
     out = {f"px_return_{k}d": ratio(c, F.lag("closeadj", k).over(w)) - 1 for k in (1, 5, 21, 63, 126, 252)}
     out |= {f"px_ma_dist_{k}d": c / full(F.avg("closeadj"), "closeadj", k) - 1 for k in (21, 63, 252)}
     out["px_drawdown_252d"] = c / full(F.max("closeadj"), "closeadj", 252) - 1
     out["px_short_reversal_5d"] = 1 - ratio(c, F.lag("closeadj", 5).over(w))
-    return panel.withColumns(out)
+    return out
 
 
 def liquidity(panel: DataFrame, min_price: float = 5.0, min_adv: float = 1e6) -> DataFrame:
-    df = panel.withColumn("liq_dollar_volume", F.col("closeadj") * F.col("volume"))
-    out: dict[str, Column] = {"liq_is_price_eligible": F.coalesce(F.col("closeadj") >= min_price, F.lit(False))}
-    for k in (20, 60):
-        out[f"liq_volume_avg_{k}d"] = full(F.avg("volume"), "volume", k)
-        out[f"liq_adv_{k}d"] = full(F.avg("liq_dollar_volume"), "liq_dollar_volume", k)
-    df = df.withColumns(out)
-    adv = F.coalesce(F.col("liq_adv_20d") >= min_adv, F.lit(False))
-    shares = F.col("shares") if "shares" in panel.columns else F.lit(None).cast("double")
+    return _eligible(panel.withColumn("liq_dollar_volume", F.col("closeadj") * F.col("volume")).withColumns(_averages()), min_price, min_adv)
+
+
+def _averages() -> dict[str, Column]:
+    return {f"liq_{name}_{k}d": full(F.avg(of), of, k) for k in (20, 60) for name, of in (("volume_avg", "volume"), ("adv", "liq_dollar_volume"))}
+
+
+def _eligible(df: DataFrame, min_price: float, min_adv: float) -> DataFrame:
+    """df, which has the averages, with the flags and what is relative to them."""
+    priced, adv = (F.coalesce(F.col(c) >= least, F.lit(False)) for c, least in (("closeadj", min_price), ("liq_adv_20d", min_adv)))
+    shares = F.col("shares") if "shares" in df.columns else F.lit(None).cast("double")
     return df.withColumns({
-        "liq_rel_volume_20d": ratio(F.col("volume"), F.col("liq_volume_avg_20d")), "liq_rel_volume_60d": ratio(F.col("volume"), F.col("liq_volume_avg_60d")),
-        "liq_is_adv20_eligible": adv, "liq_turnover": ratio(F.col("volume"), shares), "liq_is_liquid": F.col("liq_is_price_eligible") & adv,
+        "liq_is_price_eligible": priced, "liq_rel_volume_20d": ratio(F.col("volume"), F.col("liq_volume_avg_20d")), "liq_rel_volume_60d": ratio(F.col("volume"), F.col("liq_volume_avg_60d")),
+        "liq_is_adv20_eligible": adv, "liq_turnover": ratio(F.col("volume"), shares), "liq_is_liquid": priced & adv,
     })
 
 
 def running(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """df with the sums of ``values`` (null counts as 0) from each ticker's first row on: one pass, whatever the windows."""
+    return df.withColumns(_running(values))
+
+
+def _running(values: dict[str, Column]) -> dict[str, Column]:
     w = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({k: F.sum(F.coalesce(v.cast("double"), F.lit(0.0))).over(w) for k, v in values.items()})
+    return {k: F.sum(F.coalesce(v.cast("double"), F.lit(0.0))).over(w) for k, v in values.items()}
 
 
 def last_rows(name: str, k: int) -> Column:
@@ -74,14 +85,19 @@ def _moment(k: int, xy: str, x: str, y: str) -> Column:
 
 def risk(panel: DataFrame) -> DataFrame:
     """Realised volatility, and downside volatility with gains counted as 0."""
+    sums, out = _risk()
+    return running(returns(panel), sums).withColumns(out).drop(*sums)
+
+
+def _risk() -> tuple[dict[str, Column], dict[str, Column]]:
+    """What is summed, and the columns that come from the sums."""
     r = F.col("r")
-    df = running(returns(panel), {"_n": r.isNotNull(), "_r": r, "_rr": r * r, "_d": F.pow(F.least(r, F.lit(0.0)), F.lit(2.0)) * r.isNotNull().cast("int")})
-    out = {}
+    sums, out = {"_n": r.isNotNull(), "_r": r, "_rr": r * r, "_d": F.pow(F.least(r, F.lit(0.0)), F.lit(2.0)) * r.isNotNull().cast("int")}, {}
     for k in (21, 63, 252):
         whole = last_rows("_n", k) == k
         out[f"risk_realized_vol_{k}d"] = F.when(whole, F.sqrt(F.greatest(_moment(k, "_rr", "_r", "_r"), F.lit(0.0)))) * YEAR
         out[f"risk_downside_vol_{k}d"] = F.when(whole, F.sqrt(F.greatest(last_rows("_d", k) / k, F.lit(0.0)))) * YEAR
-    return df.withColumns(out).drop("_n", "_r", "_rr", "_d")
+    return sums, out
 
 
 def max_drawdown(panel: DataFrame, windows: tuple[int, ...] = (21, 63, 252)) -> DataFrame:
@@ -107,6 +123,51 @@ def max_drawdown(panel: DataFrame, windows: tuple[int, ...] = (21, 63, 252)) ->
     return panel.select("ticker", "date", "closeadj").groupBy("ticker").applyInPandas(run, "ticker string, date date, " + ", ".join(f"{n} double" for n in names))
 
 
+#: Windows of drawdowns, each so many times the one before; the first is a step between.
+FALLS = ((3, 1), (21, 3), (63, 21), (252, 63))
+
+
+def with_max_drawdown(panel: DataFrame) -> DataFrame:
+    """panel with risk_max_drawdown_{21,63,252}d, as ``max_drawdown`` has them, by windows on the rows where they are.
+
+    A window is put together from shorter ones side by side: its worst fall is one inside a part, or from the highest
+    price of earlier parts to the lowest of a later one.
+    """
+    df = panel.withColumns(_fall_start())
+    for k, part in FALLS:
+        df = df.withColumns(_earlier(k, part)).withColumns(_fall(k, part))
+    return df.withColumns(_falls(df.columns)).drop(*[c for c in df.columns if c.startswith("_fall")])
+
+
+def _fall_start() -> dict[str, Column]:
+    """A day as a window of its own: highest and lowest price and worst fall. Prices that are no number count as null."""
+    c = F.col("closeadj").cast("double")
+    c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return {"_fall_high_1": c, "_fall_low_1": c, "_fall_1": F.when(c.isNotNull(), F.lit(0.0))}
+
+
+def _earlier(k: int, part: int) -> dict[str, Column]:
+    """The parts of a window over k rows that end before today, and its first price."""
+    out = {f"_fall{x}_{part}_{j}": F.lag(f"_fall{x}_{part}", j * part).over(by_ticker()) for j in range(1, k // part) for x in ("_high", "_low", "")}
+    return out | {f"_fall_first_{k}": F.lag("_fall_high_1", k - 1).over(by_ticker())}
+
+
+def _fall(k: int, part: int) -> dict[str, Column]:
+    name = lambda x, j: F.col(f"_fall{x}_{part}_{j}" if j else f"_fall{x}_{part}")
+    order = range(k // part - 1, -1, -1)
+    high, low, own = ([name(x, j) for j in order] for x in ("_high", "_low", ""))
+    across = [ratio(low[i], F.greatest(*high[:i]) if i > 1 else high[0]) - 1 for i in range(1, len(high))]
+    whole = high[0].isNotNull()
+    for h in high[1:]:
+        whole = whole & h.isNotNull()
+    return {f"_fall_high_{k}": F.when(whole, F.greatest(*high)), f"_fall_low_{k}": F.when(whole, F.least(*low)), f"_fall_{k}": F.when(whole, F.least(*own, *across))}
+
+
+def _falls(columns: list[str]) -> dict[str, Column]:
+    """The worst falls; null where the window begins with a price of 0, from which there is none."""
+    return {f"risk_max_drawdown_{k}d": F.when(F.col(f"_fall_first_{k}") != 0, F.col(f"_fall_{k}")) for k, _ in FALLS if f"_fall_first_{k}" in columns and k > 3}
+
+
 def benchmark(panel: DataFrame) -> DataFrame:
     """date, b: the mean price of all tickers, where no index series is given. One row a date."""
     return panel.groupBy("date").agg(F.avg("closeadj").alias("b"))
@@ -119,21 +180,40 @@ def benchmark_returns(bench: DataFrame) -> DataFrame:
 
 def beta(panel: DataFrame, bench: DataFrame) -> DataFrame:
     """Beta and idiosyncratic volatility against the benchmark; the calendar (a row a date) is broadcast."""
-    df = returns(panel).join(F.broadcast(benchmark_returns(bench).select("date", "rb")), "date", "left")
+    sums, out = _beta()
+    return running(_beside(returns(panel), bench), sums).withColumns(out).drop(*sums)
+
+
+def _beside(df: DataFrame, bench: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(benchmark_returns(bench).select("date", "rb")), "date", "left")
+
+
+def _beta() -> tuple[dict[str, Column], dict[str, Column]]:
+    """What is summed, and the columns that come from the sums."""
     both = F.col("r").isNotNull() & F.col("rb").isNotNull()
     y, x = F.when(both, F.col("r")), F.when(both, F.col("rb"))
-    df = running(df, {"_n": both, "_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y})
-    out = {}
+    sums, out = {"_m": both, "_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y}, {}
     for k in (21, 63, 252):
-        whole, cov, var = last_rows("_n", k) == k, _moment(k, "_xy", "_x", "_y"), _moment(k, "_xx", "_x", "_x")
+        whole, cov, var = last_rows("_m", k) == k, _moment(k, "_xy", "_x", "_y"), _moment(k, "_xx", "_x", "_x")
         out[f"risk_beta_spy_{k}d"] = F.when(whole, ratio(cov, var))
         # var_y (1 - corr^2), without the division by 0 that corr() fails on
         out[f"risk_idio_vol_spy_{k}d"] = F.when(whole, F.sqrt(F.greatest(_moment(k, "_yy", "_y", "_y") - ratio(cov * cov, var), F.lit(0.0))) * YEAR)
-    return df.withColumns(out).drop("_n", "_x", "_y", "_xx", "_yy", "_xy")
+    return sums, out
 
 
 def regime(panel: DataFrame, bench: DataFrame) -> DataFrame:
     """date and the market's state on it: return, trends, volatility, drawdown, risk-on score and breadth."""
+    r21 = ratio(F.col("closeadj"), F.lag("closeadj", 21).over(by_ticker())) - 1
+    breadth = panel.withColumn("_r", r21).groupBy("date").agg(_breadth("_r").alias("regime_breadth_px_return_21d_positive"))
+    return market(bench).join(F.broadcast(breadth), "date", "left")
+
+
+def _breadth(r21: str) -> Column:
+    return F.avg((F.col(r21) > 0).cast("double"))
+
+
+def market(bench: DataFrame) -> DataFrame:
+    """The columns of ``regime`` that the benchmark alone gives."""
     w = Window.orderBy("date")
     over = lambda k: w.rowsBetween(-(k - 1), 0)
     b = F.col("b")
@@ -145,10 +225,7 @@ def regime(panel: DataFrame, bench: DataFrame) -> DataFrame:
     for k in (21, 63):
         out[f"regime_spy_realized_vol_{k}d"] = full(F.stddev_samp("rb"), "rb", k, over) * YEAR
     out["regime_spy_drawdown_252d"] = b / full(F.max("b"), "b", 252, over) - 1
-    df = df.withColumns(out).withColumn("regime_spy_risk_on_score_21d", ratio(F.col("regime_spy_return_21d"), F.col("regime_spy_realized_vol_21d")))
-    r21 = ratio(F.col("closeadj"), F.lag("closeadj", 21).over(by_ticker())) - 1
-    breadth = panel.withColumn("_r", r21).groupBy("date").agg(F.avg((F.col("_r") > 0).cast("double")).alias("regime_breadth_px_return_21d_positive"))
-    return df.join(F.broadcast(breadth), "date", "left").drop("b", "rb")
+    return df.withColumns(out).withColumn("regime_spy_risk_on_score_21d", ratio(F.col("regime_spy_return_21d"), F.col("regime_spy_realized_vol_21d"))).drop("b", "rb")
 
 
 def _rank(column: str) -> Column:
@@ -175,10 +252,12 @@ def cross_section(panel: DataFrame, bench: DataFrame) -> DataFrame:
     })
 
 
+YIELDS = {"val_earnings_yield": "pe", "val_sales_yield": "ps", "val_book_yield": "pb", "val_ebit_ev_yield": "evebit", "val_ebitda_ev_yield": "evebitda"}
+
+
 def valuation(panel: DataFrame, daily: DataFrame) -> DataFrame:
     """Yields from the same day's ratios: daily(ticker, date, pe, ps, pb, evebit, evebitda); null on a ratio of 0."""
-    pairs = {"val_earnings_yield": "pe", "val_sales_yield": "ps", "val_book_yield": "pb", "val_ebit_ev_yield": "evebit", "val_ebitda_ev_yield": "evebitda"}
-    return panel.join(daily, ["ticker", "date"], "left").withColumns({k: ratio(F.lit(1.0), F.col(v)) for k, v in pairs.items()})
+    return panel.join(daily, ["ticker", "date"], "left").withColumns({k: ratio(F.lit(1.0), F.col(v)) for k, v in YIELDS.items()})
 
 
 def fcf_yield(panel: DataFrame, filings: DataFrame) -> DataFrame:
@@ -237,22 +316,59 @@ def buckets() -> Iterator[tuple[str, list[str]]]:
     yield "legacy_rsi", []
 
 
+def _standing(prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """prices with _rank_{c}, and by date _n_{c}, _avg_{c}, _sd_{c} and _breadth: what ranks, z-scores and breadth need.
+
+    Rows go to their date once, with the two values that need the ticker's history, and back to their ticker with ranks as
+    small numbers. The figures of a date are combined before they are dealt, from the same rows.
+    """
+    df = risk(prices).withColumn("px_return_21d", ratio(F.col("closeadj"), F.lag("closeadj", 21).over(by_ticker())) - 1)
+    df = df.select("date", "ticker", "closeadj", "volume", "px_return_21d", "risk_realized_vol_21d")
+    with_dollars = lambda x: x.withColumn("liq_dollar_volume", F.col("closeadj") * F.col("volume"))
+    figures = {f"_{k}_{c}": f(c) for c in RANKED for k, f in (("n", F.count), ("avg", F.avg), ("sd", F.stddev_samp))}
+    days = with_dollars(df).groupBy("date").agg(_breadth("px_return_21d").alias("_breadth"), *[v.alias(k) for k, v in figures.items()])
+    df = with_dollars(df.repartition("date"))
+    for c in RANKED:
+        df = df.withColumn(f"_rank_{c}", F.rank().over(Window.partitionBy("date", F.col(c).isNull()).orderBy(c)))
+    return df.select("ticker", "date", "closeadj", "volume", *[f"_rank_{c}" for c in RANKED]).repartition("ticker"), days
+
+
+#: The values whose ranks on a date the panel has.
+RANKED = ("px_return_21d", "liq_dollar_volume", "risk_realized_vol_21d")
+
+
+def _stood(c: str) -> dict[str, Column]:
+    """The rank and the z-score of a value from what ``_standing`` has; as _rank and _z have them."""
+    v, n, sd = F.col(c), F.col(f"_n_{c}"), F.col(f"_sd_{c}")
+    out = {f"xs_{c}_rank": F.when(v.isNotNull(), F.when(n > 1, (F.col(f"_rank_{c}") - 1) / (n - 1)).otherwise(0.0))}
+    if c != "px_return_21d":
+        out[f"xs_{c}_z"] = F.when(v.isNotNull(), F.when(F.coalesce(sd, F.lit(0.0)) == 0, 0.0).otherwise((v - F.col(f"_avg_{c}")) / sd))
+    return out
+
+
 def factor_panel(prices: DataFrame, bench: DataFrame, filings: DataFrame, daily: DataFrame, min_price: float = 5.0, min_adv: float = 1e6) -> DataFrame:
     """All feature columns of a (ticker, date) panel, with closeadj and volume.
 
-    filings also has fcf, daily also has market_cap. Windows by ticker share the deal of ``prices``; the drawdown, which
-    Python computes, is joined back by ticker and date.
+    filings also has fcf, daily also has market_cap; prices and daily have a row for each (ticker, date). Only narrow rows
+    are dealt: prices to their dates for the ranks and back, where filings and daily ratios, dealt by ticker as well, are
+    stacked on them. All wide columns are computed after that, in one pass over a ticker's days, and are never dealt.
     """
     columns = [c for _, v in buckets() for c in v]
-    df = risk(liquidity(price(prices), min_price, min_adv))
-    df = beta(df.drop("r"), bench).drop("r", "rb")
-    df = df.join(max_drawdown(prices), ["ticker", "date"], "left")
-    ratios = quality(filings).select("ticker", "datekey", *[c for c in columns if c.startswith("qual_")])
-    df = asof_backward(df, ratios, "ticker", "date", "datekey").drop("datekey")
-    df = fcf_yield(valuation(df, daily), filings)
-    df = df.join(F.broadcast(regime(prices, bench)), "date", "left")
-    df = df.withColumns({
-        "xs_px_return_21d_rank": _rank("px_return_21d"), "xs_liq_dollar_volume_rank": _rank("liq_dollar_volume"), "xs_risk_realized_vol_21d_rank": _rank("risk_realized_vol_21d"),
-        "xs_liq_dollar_volume_z": _z("liq_dollar_volume"), "xs_risk_realized_vol_21d_z": _z("risk_realized_vol_21d"), "xs_px_return_21d_minus_spy": F.col("px_return_21d") - F.col("regime_spy_return_21d"),
-    })
-    return df.select("ticker", "date", "closeadj", "volume", *columns)
+    ratios = quality(filings).select("ticker", "datekey", "fcf", *[c for c in columns if c.startswith("qual_")])
+    ranked, days = _standing(prices)
+    df = stacked(ranked, "ticker", "date", {"_filing": (ratios, "datekey", False), "_daily": (daily, "date", True)})
+    # One window takes what the rows hold as they are, the next what needs returns, then what needs their sums; drawdowns grow along.
+    df = _beside(df, bench).withColumn("liq_dollar_volume", F.col("closeadj") * F.col("volume")).withColumns(_fall_start())
+    (sums, out), (more_sums, more) = _risk(), _beta()
+    steps = [_price() | _averages() | {"r": ratio(F.col("closeadj"), F.lag("closeadj", 1).over(by_ticker())) - 1}, _running(sums | more_sums), out | more, {}]
+    for (k, part), step in zip(FALLS, steps, strict=True):
+        df = df.withColumns(step | _earlier(k, part)).withColumns(_fall(k, part))
+    df = _eligible(df.withColumns(_falls(df.columns)), min_price, min_adv)
+    df = df.join(F.broadcast(days.withColumnRenamed("date", "_day")), F.col("date").eqNullSafe(F.col("_day")), "left")
+    df = df.join(F.broadcast(market(bench).withColumn("_known", F.lit(True))), "date", "left")
+    own = {"regime_breadth_px_return_21d_positive": F.when(F.col("_known"), F.col("_breadth")), "val_fcf_yield": ratio(F.col("_filing.fcf"), F.col("_daily.market_cap"))}
+    own |= {c: F.col(f"_filing.{c}") for c in ratios.columns if c.startswith("qual_")} | {k: ratio(F.lit(1.0), F.col(f"_daily.{v}")) for k, v in YIELDS.items()}
+    own |= {"xs_px_return_21d_minus_spy": F.col("px_return_21d") - F.col("regime_spy_return_21d")}
+    for c in RANKED:
+        own |= _stood(c)
+    return df.select("ticker", "date", "closeadj", "volume", *[own[c].alias(c) if c in own else c for c in columns])

@@ -42,12 +42,12 @@ def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, closeadj, volume: one row a day, dealt by ticker so that windows by ticker need no further exchange."""
-    return latest_prices(sep(spark, sf_dir).select("ticker", "date", "closeadj", "volume", "lastupdated").repartition("ticker")).select("ticker", "date", "closeadj", "volume")
+    return latest_prices(sep(spark, sf_dir).select("ticker", "date", "closeadj", "volume", F.col("lastupdated").try_cast("date").alias("lastupdated")).repartition("ticker")).select("ticker", "date", "closeadj", "volume")
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fundamentals by customer and order date: one filing a day."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("ticker"), F.col("o_orderdate").cast("date").alias("datekey"), "o_orderkey", F.col("o_totalprice").alias("p"))
+    """Fundamentals by customer and order date: one filing a day, dealt by ticker."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("ticker"), F.col("o_orderdate").cast("date").alias("datekey"), "o_orderkey", F.col("o_totalprice").alias("p")).repartition("ticker")
     one = o.groupBy("ticker", "datekey").agg(F.max(F.struct("o_orderkey", "p")).alias("x")).select("ticker", "datekey", "x.*")
     p, k = F.col("p"), F.col("o_orderkey")
     return one.select("ticker", "datekey", p.alias("revenue"), (p * 0.4).alias("grossprofit"), (p * 0.2).alias("opinc"), (p * (k % 7 - 2) / 10).alias("netinc"), (p * 2).alias("assets"), F.when(k % 5 != 0, p).otherwise(0.0).alias("equity"), (p * 1.5).alias("invcap"), (p * (k % 3)).alias("debt"), (p * 0.1).alias("fcf"))

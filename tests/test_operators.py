@@ -2,10 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import DATA
+from quillon import panel
 from quillon.functions.scalars import as_date, as_date_column, impact_bps, redact, trade_allowed
 from quillon.operators import asof, dedup, features, incremental, labels, policy, portfolio, reports
 from quillon.operators.universe import universe
@@ -180,6 +183,54 @@ def test_factor_panel_has_every_column_once(spark):
     assert reports.unclassified(got.columns, dict(features.buckets())) == ["closeadj", "volume"]
 
 
+def _formatted(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_factor_panel_deals_no_wide_rows(spark):
+    """Rows are dealt before the feature columns are there, so that scratch does not grow with their number."""
+    px = _panel(spark, 40, ("A", "B"), ("C",), 30).repartition("ticker")
+    filings = spark.createDataFrame([("A", D(2020, 1, 10), *[10.0] * 9)], "ticker string, datekey date, revenue double, grossprofit double, opinc double, netinc double, assets double, equity double, invcap double, debt double, fcf double").repartition("ticker")
+    daily = px.select("ticker", "date", *[F.lit(2.0).alias(c) for c in ("pe", "ps", "pb", "evebit", "evebitda")], F.lit(100.0).alias("market_cap"))
+    plan = _formatted(features.factor_panel(px, features.benchmark(px), filings, daily))
+    dealt = [int(n) for n in re.findall(r"\(\d+\) Exchange\s*\nInput \[(\d+)\].*\nArguments: hashpartitioning", plan)]
+    # The widest are the figures of a date, combined, and the filings as they come in.
+    assert len(dealt) > 3 and max(dealt) <= 16
+    assert "EvalPython" not in plan and "InPandas" not in plan
+
+
+def test_factor_panel_equals_its_parts(spark):
+    """Every column as the operator of its bucket gives it, on tables with days without ratios, filings and history."""
+    d = str(DATA)
+    px, filings, daily = panel.prices(spark, d), panel.filings(spark, d), panel.daily_ratios(spark, d)
+    bench = features.benchmark(px)
+    # A day that the benchmark lacks, and filings of a ticker that has no prices or on the day itself.
+    bench = bench.where("date <> DATE '1996-03-05'")
+    got = features.factor_panel(px, bench, filings, daily, min_adv=30_000)
+    fcf = features.fcf_yield(px.join(daily.select("ticker", "date", "market_cap"), ["ticker", "date"], "left"), filings)
+    ratios = features.quality(filings).select("ticker", "datekey", *[c for c in got.columns if c.startswith("qual_")])
+    parts = [features.price(px), features.liquidity(px, min_adv=30_000), features.risk(px), features.beta(px, bench), features.max_drawdown(px), asof.asof_backward(px, ratios, "ticker", "date", "datekey"), features.valuation(px, daily), fcf, px.join(features.regime(px, bench), "date", "left"), features.cross_section(px, bench)]
+    rows, seen = {(r.ticker, r.date): r for r in got.collect()}, set()
+    for part in parts:
+        own = [c for c in got.columns[2:] if c in part.columns and c not in seen]
+        seen.update(own)
+        for r in part.select("ticker", "date", *own).collect():
+            for c in own:
+                x, y = rows[r.ticker, r.date][c], r[c]
+                assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-9, abs=1e-9)), (c, r.ticker, r.date, x, y)
+    assert seen == set(got.columns[2:]) and len(rows) == px.count()
+
+
+def test_drawdown_by_windows_equals_the_loop(spark):
+    r = random.Random(5)
+    odd = {(1, 40): 0.0, (2, 0): 0.0, (2, 1): 0.0, (3, 100): None, (4, 30): float("nan"), (5, 260): float("inf")}
+    rows = [(f"T{t}", D(2020, 1, 1) + dt.timedelta(days=i), odd.get((t, i), r.uniform(5, 50))) for t in range(8) for i in range((20, 300, 300, 400, 330, 600, 252, 251)[t])]
+    px = spark.createDataFrame(rows, "ticker string, date date, closeadj double")
+    names = [f"risk_max_drawdown_{k}d" for k in (21, 63, 252)]
+    got, want = ({(x.ticker, x.date): x[2:] for x in df.select("ticker", "date", *names).collect()} for df in (features.with_max_drawdown(px), features.max_drawdown(px)))
+    assert got == want and features.with_max_drawdown(px).columns == [*px.columns, *names]
+
+
 def test_max_drawdown_equals_brute_force(spark):
     r = random.Random(4)
     rows = [(t, D(2020, 1, 1) + dt.timedelta(days=i), r.uniform(5, 50), 1.0) for t in "AB" for i in range(270)]
