@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Text is processed in runs of whole documents of about so many bytes, which bounds a worker's memory.
 BLOCK_BYTES = 1 << 19
+#: Scratch tables of a known number of narrow rows get a file for so many, but one for each core at least.
+FILE_ROWS = 20_000
 
 _scratch: list[tuple[SparkSession, str]] = []
 #: Scratch tables whose files Spark hands out: an executor that starts later asks for them, so they stay until the exit.
@@ -62,10 +64,16 @@ def _clean() -> None:
             return
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it again: the plan starts anew from durable files."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it again: the plan starts anew from durable files.
+
+    ``rows`` bounds its rows, which are narrow: few rows then make few files, however many partitions they are dealt to. On
+    a local file system without Hadoop's native library each file makes an executor start processes (chmod).
+    """
     spark = df.sparkSession
     bounded_batches(spark)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{checkpoint_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     schema = df.schema

@@ -132,3 +132,31 @@ def test_registers_of_few_shingles(text):
 
     (_, _, sets), = N.shingle_sets(pa.array([text]))
     assert (N.registers(sets[0]) != N.EMPTY).sum() <= max(0, len(text.split()))
+
+
+def test_few_links_make_few_files(spark, docs_of, monkeypatch):
+    """However many partitions hold them: a task that writes a file starts processes beside its executor."""
+    files, real = {}, N.materialize
+
+    def noted(df, name, *rest):
+        out = real(df, name, *rest)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(N, "materialize", noted)
+    r = random.Random(11)
+    rows = []
+    for k in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(80)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1]))]
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        check(docs_of(rows), rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = spark.sparkContext.defaultParallelism
+    assert files["links"] <= most and files["components"] <= most
